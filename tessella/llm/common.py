@@ -44,8 +44,9 @@ def arrow_map(df: DataFrame, fn, schema: StructType) -> DataFrame:
         def rows():
             for batch in batches:
                 # small slices: Python objects for a few rows at a time only
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                step = max(1, min(256, 4_000_000 * batch.num_rows // max(1, batch.nbytes)))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
         held, size = [], 0

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, media, secrets, token_counts
-from .common import table
+from . import chat, decontaminate, media, secrets, simhash, token_counts, warc
+from .common import table, written
 
 
 def tokenizer(name: str) -> str:
@@ -14,6 +14,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.to_media(table(spark, sf_dir, "documents"))).drop("clips")
 
@@ -22,6 +26,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    return warc.read_archives(archives, payloads=False).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
 
@@ -38,7 +47,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_media, op3_secrets, op7_token_counts, op8_decontaminate, op10_chat)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_secrets, op6_warc, op7_token_counts, op8_decontaminate, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
