@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, media, secrets, simhash, token_counts, warc
+from . import bpe, chat, decontaminate, media, quality, secrets, simhash, token_counts, warc
 from .common import table, written
 
 
@@ -26,6 +26,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = written(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
     return warc.read_archives(archives, payloads=False).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -39,6 +46,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
@@ -47,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_media, op3_secrets, op6_warc, op7_token_counts, op8_decontaminate, op10_chat)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_secrets, op4_byte_bpe, op6_warc, op7_token_counts, op8_decontaminate, op9_quality, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
