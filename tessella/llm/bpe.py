@@ -163,6 +163,6 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids", Tokenizer(encoded.sparkSession, path, pattern).decoded(F.col("ids")).alias("decoded"))
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """The contract's columns."""
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digest(decoded: DataFrame, *more: str) -> DataFrame:
+    """The contract's columns, and more columns of decoded."""
+    return decoded.select("doc_id", *more, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

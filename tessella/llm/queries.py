@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, media, quality, secrets, simhash, token_counts, warc
+from . import bpe, chat, decontaminate, lines, media, quality, secrets, simhash, token_counts, warc
 from .common import table, written
 
 
@@ -33,6 +33,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = written(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
     return warc.read_archives(archives, payloads=False).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,7 +63,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_media, op3_secrets, op4_byte_bpe, op6_warc, op7_token_counts, op8_decontaminate, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_secrets, op4_byte_bpe, op5_fuzzy_lines, op6_warc, op7_token_counts, op8_decontaminate, op9_quality, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
