@@ -115,7 +115,8 @@ def flood_columns(points: DataFrame, columns: tuple[int, int], order: tuple[str,
     for dim, k in zip(order, columns, strict=True):
         splits = _equi_depth(points, k, dim)
         # array_size of the splits at or below the value: as many as columns, a literal of the plan
-        at = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s, d=dim: s <= F.col(d))) if splits else F.lit(0)
+        value = F.col(dim)
+        at = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= value)) if splits else F.lit(0)  # noqa: B023
         number = at.cast("bigint") if number is None else number * F.lit(len(splits) + 1) + at
     return laid_out(cells.withColumn("block_id", number))
 

@@ -32,7 +32,8 @@ def gaussian(spark: SparkSession, mean, cov, n: int, seed: int, first_id: int =
 
     Each point draws 64 times from streams that belong to its id and takes the first draw inside, or a uniform point.
     """
-    low = np.linalg.cholesky(np.asarray(cov) + 1e-12 * np.eye(2))
+    values, vectors = np.linalg.eigh(np.asarray(cov, float))  # scaled diagonals may leave the cone: negative parts are cut
+    low = np.linalg.cholesky(vectors @ np.diag(np.maximum(values, 0)) @ vectors.T + 1e-12 * np.eye(2))
     uniform = max(1, int(n * noise))
 
     def unit(k: int, axis: int):

@@ -279,12 +279,12 @@ def knn_join(spark, sf):
 
 
 @query(
-    f"""with {KNN} select cid, round(avg(x), 9) as mean_x, round(avg(y), 9) as mean_y, round(sqrt(var_pop(x) + 1e-6), 9) as sd_x, round(sqrt(var_pop(y) + 1e-6), 9) as sd_y
+    f"""with {KNN} select cid, round(avg(x), 6) as mean_x, round(avg(y), 6) as mean_y, round(sqrt(var_pop(x) + 1e-6), 6) as sd_x, round(sqrt(var_pop(y) + 1e-6), 6) as sd_y
     from knn join pts_orders using (pid) group by cid"""
 )
 def knn_centroid_spread(spark, sf):
     near = range_join.knn_join(_centers(spark, sf), fx.pts_orders(spark, sf), 8).join(fx.pts_orders(spark, sf), "pid")
-    return grids.local_spread(near).select("cid", *(F.round(c, 9).alias(c) for c in ("mean_x", "mean_y", "sd_x", "sd_y")))
+    return grids.local_spread(near).select("cid", *(F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "sd_x", "sd_y")))
 
 
 # --- layouts
@@ -304,7 +304,7 @@ def layout_str_blocks(spark, sf):
 
 
 def _spread_sql(c: str) -> str:
-    return " + ".join(f"((({c}) >> {i}) & 1) << {2 * i}" for i in range(22)).join("()")
+    return " + ".join(f"(((({c}) >> {i}) & 1) << {2 * i})" for i in range(22)).join("()")
 
 
 ZM = f"""r as (select pid, x, y, row_number() over (order by x, pid) - 1 as rx, row_number() over (order by y, pid) - 1 as ry from pts_orders),

@@ -168,10 +168,9 @@ def read_config(path: str, profile: str | None = None) -> Config:
 
 def task_matrix(spark: SparkSession, data_entropies: list[int], samples: list[int], block_sizes: list[int], selectivities: list[str], query_entropies: list[int]) -> DataFrame:
     """Every combination of settings with a task_id from 1, the last setting fastest."""
-    frames = [(data_entropies, "data_entropy_id int"), (samples, "sample_num int"), (block_sizes, "block_size int"), (selectivities, "selectivity string"), (query_entropies, "query_entropy_id int")]
-    out = None
-    for values, ddl in frames:
-        next_one = spark.createDataFrame([(v,) for v in values], ddl)
-        out = next_one if out is None else out.crossJoin(next_one)
-    by = Window.orderBy(*(ddl.split()[0] for _, ddl in frames))
-    return out.withColumn("task_id", F.row_number().over(by).cast("bigint"))
+    settings = {"data_entropy_id": data_entropies, "sample_num": samples, "block_size": block_sizes, "selectivity": selectivities, "query_entropy_id": query_entropies}
+    out = spark.range(1).select()
+    for name, values in settings.items():
+        # one row that grows: a cross product without a join
+        out = out.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return out.withColumn("task_id", F.row_number().over(Window.orderBy(*settings)).cast("bigint"))
