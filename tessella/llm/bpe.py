@@ -70,6 +70,11 @@ def looked_up(slots: Column, key: Column) -> Column:
     return F.element_at(F.get(slots, F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")), key)
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often then() names it, also inside its lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def one_byte_pieces(word: Column) -> Column:
     """The word's UTF-8 bytes, as one-byte pieces."""
     return F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
@@ -79,10 +84,7 @@ def folded(word: Column, ranks: Column) -> Column:
     """The ids of a word (not empty), joined by spaces."""
     rank = lambda pair: F.coalesce(looked_up(ranks, pair), F.lit(NONE))
     pieces = one_byte_pieces(word)
-    start = F.transform(
-        F.array(pieces),
-        lambda p: F.struct(p.alias("p"), F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: rank(F.concat(a, b))).alias("r"), F.lit(0).alias("at")),
-    )[0]
+    start = let(pieces, lambda p: F.struct(p.alias("p"), F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: rank(F.concat(a, b))).alias("r"), F.lit(0).alias("at")))
 
     def step(acc: Column, turn: Column) -> Column:
         p, r, at = acc["p"], acc["r"], acc["at"]
@@ -131,14 +133,24 @@ class Tokenizer:
         ranks = self.rank_map()
         return constant_map(self.spark, dict(top.select("w", folded(F.col("w"), ranks).alias("ids")).toLocalIterator()), "string")
 
-    def encoded(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with _ids (array<string> per pre-token, ids joined by spaces); names that docs has are not touched."""
+    def ids(self, text: Column, known: Column) -> Column:
+        """Ids of each pre-token of a text, joined by spaces, as an array in the order of the text."""
         ranks = self.rank_map()
-        texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        known = self.frequent(texts)
-        return docs.withColumn("_words", words_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")), self.pattern)).withColumn("_known", F.transform("_words", lambda w: looked_up(known, w))).withColumn("_new", F.array_distinct(F.filter("_words", lambda w, i: F.get("_known", i).isNull()))).withColumn("_folded", F.transform("_new", lambda w: folded(w, ranks))).withColumn(
-            "_ids", F.transform("_words", lambda w, i: F.coalesce(F.get("_known", i), F.get("_folded", (F.array_position("_new", w) - 1).cast("int"))))
-        ).drop("_words", "_known", "_new", "_folded")
+
+        def with_known(words: Column) -> Column:
+            return F.struct(words.alias("words"), F.transform(words, lambda w: looked_up(known, w)).alias("known"))
+
+        def with_new(s: Column) -> Column:
+            new = F.array_distinct(F.filter(s["words"], lambda w, i: F.get(s["known"], i).isNull()))
+            return F.struct(s["words"].alias("words"), s["known"].alias("known"), new.alias("new"))
+
+        def with_folded(s: Column) -> Column:
+            return F.struct(s["words"].alias("words"), s["known"].alias("known"), s["new"].alias("new"), F.transform(s["new"], lambda w: folded(w, ranks)).alias("folded"))
+
+        def all_ids(s: Column) -> Column:
+            return F.transform(s["words"], lambda w, i: F.coalesce(F.get(s["known"], i), F.get(s["folded"], (F.array_position(s["new"], w) - 1).cast("int"))))
+
+        return let(let(let(let(words_of(text, self.pattern), with_known), with_new), with_folded), all_ids)
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
@@ -154,8 +166,9 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     """
     tokenizer = Tokenizer(docs.sparkSession, path, pattern)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = tokenizer.encoded(rows).select("doc_id", F.array_join("_ids", " ").alias("ids"))
-    return joined.select("doc_id", F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", " ").cast("array<int>")).alias("ids"))
+    text = F.coalesce("text", F.lit(""))
+    ids = let(F.array_join(tokenizer.ids(text, tokenizer.frequent(rows.select(text.alias("text")))), " "), lambda t: F.when(t == "", F.array().cast("array<int>")).otherwise(F.split(t, " ").cast("array<int>")))
+    return rows.select("doc_id", ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
