@@ -73,9 +73,9 @@ def read_split_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_quad_nodes(spark: SparkSession, path: str) -> DataFrame:
     """node_id, mid_x, mid_y, ordering of a four-way tree's inner nodes (children 4i + 1 to 4i + 4); the first line, the root's box, is skipped."""
-    lines = spark.read.text(path)
     parts = F.split(F.trim("value"), r"\s+")
-    return lines.select(parts.alias("p")).where((F.size("p") == 4) & F.col("p")[0].rlike(r"^\d+$") & F.col("p")[3].isin("0", "1")).select(F.col("p")[0].cast("bigint").alias("node_id"), F.col("p")[1].cast("double").alias("mid_x"), F.col("p")[2].cast("double").alias("mid_y"), (F.col("p")[3] == "1").alias("ordering"))
+    lines = spark.read.text(path, wholetext=False).select(F.monotonically_increasing_id().alias("line"), parts.alias("p"))
+    return lines.where((F.col("line") > 0) & (F.size("p") == 4)).select(F.col("p")[0].cast("bigint").alias("node_id"), F.col("p")[1].cast("double").alias("mid_x"), F.col("p")[2].cast("double").alias("mid_y"), (F.col("p")[3] == "1").alias("ordering"))
 
 
 def keep_every(df: DataFrame, order: str, n: int, valid=None) -> DataFrame:
