@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, lines, media, quality, secrets, simhash, token_counts, warc
+from . import bpe, chat, decontaminate, lines, media, quality, secrets, simhash, sql, token_counts, warc
 from .common import table, written
 
 
@@ -67,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": sql.DECONTAMINATE, "op10_chat": sql.CHAT}
