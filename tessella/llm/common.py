@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -14,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.shared import remove, shared_dir, written
+
+__all__ = ["arrow_map", "ids_and_text", "remove", "shared_dir", "ship", "table", "utf8", "worker_cache", "written"]
+
 #: Rows per Arrow batch that leaves a worker; bounds what a worker holds besides its input batch.
 OUT_ROWS = 1024
 
@@ -76,32 +77,3 @@ def ship(spark: SparkSession, value):
     """Broadcasts a value of bounded size; the result, called in a worker, gives it there."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(sent.value)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, which is set here only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return os.path.dirname(held.rstrip("/")) if held.count("/") > 2 else held
-        at = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it: later plans start from the files, not from df's lineage."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Deletes the files of a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tessella/" in file:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
