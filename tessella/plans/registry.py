@@ -291,11 +291,13 @@ def knn_centroid_spread(spark, sf):
 
 META = "min(x) as x_lo, min(y) as y_lo, max(x) as x_hi, max(y) as y_hi, count(*) as n"
 #: Two levels of slices, as sort-tile-recursive makes them of 16 * 16 * 256 points or fewer.
-STR = f"""a as (select *, case when n <= {BLOCK} then 0 when n // 16 >= {BLOCK} then ntile(16) over (order by x, pid) - 1 else 0 end as s from pts_orders, (select count(*) n from pts_orders)),
+STR = f"""n0 as (select count(*) as n, case when count(*) <= {BLOCK} then 1 when count(*) // 16 >= {BLOCK} then 16 else count(*) // {BLOCK} + 1 end as k0 from pts_orders),
+    z as (select *, row_number() over (order by x, pid) - 1 as r0 from pts_orders, n0),
+    a as (select *, case when r0 < (n % k0) * (n // k0 + 1) then r0 // (n // k0 + 1) else n % k0 + (r0 - (n % k0) * (n // k0 + 1)) // greatest(n // k0, 1) end as s from z),
     b as (select *, count(*) over (partition by s) as m, row_number() over (partition by s order by y, pid) - 1 as r from a),
-    c as (select *, case when m <= {BLOCK} then 1 else m // {BLOCK} + 1 end as k from b),
+    c as (select *, case when m <= {BLOCK} then 1 else m // {BLOCK} + 1 end as k, max(m) over () as most from b),
     d as (select *, case when r < (m % k) * (m // k + 1) then r // (m // k + 1) else m % k + (r - (m % k) * (m // k + 1)) // greatest(m // k, 1) end as t from c),
-    blocks as (select cast(s * 16 + t as bigint) as block_id, pid, x, y from d), meta as (select block_id, {META} from blocks group by block_id)"""
+    blocks as (select cast(case when most > {BLOCK} then s * 16 + t else s end as bigint) as block_id, pid, x, y from d), meta as (select block_id, {META} from blocks group by block_id)"""
 
 
 @query(f"with {STR} select * from meta")
