@@ -40,30 +40,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _slot(word: bytes) -> int:
-    import xxhash
-
-    h = xxhash.xxh64_intdigest(word, 42)
-    return (h - (1 << 64) if h >> 63 else h) % SLOTS
-
-
-def constant(spark: SparkSession, value: object, kind: str) -> Column:
-    """A literal of any type. The value is built in one row and kept as one JVM object, however often the plan names it."""
-    jvm = spark.sparkContext._jvm
-    frame = spark.createDataFrame([(value,)], f"value {kind}", verifySchema=False).coalesce(1)
-    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal.create(frame._jdf.collectAsList().get(0).get(0), frame._jdf.schema().apply(0).dataType())
+def constant(row: DataFrame) -> Column:
+    """The one value of a one-row frame as a literal: one JVM object, however often the plan names it, and nothing in Python."""
+    jvm = row.sparkSession.sparkContext._jvm
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal.create(row._jdf.collectAsList().get(0).get(0), row._jdf.schema().apply(0).dataType())
     return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
 
 
-def constant_map(spark: SparkSession, entries: dict[str, object], value: str) -> Column:
-    """A constant array of maps: SLOTS maps, each with the entries whose key has this slot."""
-    slots: list[dict | None] = [None] * SLOTS
-    for key, v in entries.items():
-        at = _slot(key.encode())
-        if slots[at] is None:
-            slots[at] = {}
-        slots[at][key] = v
-    return constant(spark, slots, f"array<map<string,{value}>>")
+def constant_map(entries: DataFrame) -> Column:
+    """A constant array of maps from the rows (key, value): SLOTS maps, each with the entries whose key has this slot."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
+    maps = entries.groupBy(slot.alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    every = entries.sparkSession.range(SLOTS).join(maps, "id", "left")
+    rows = F.array_sort(F.collect_list(F.struct("id", "m")), lambda a, b: (a["id"] - b["id"]).cast("int"))
+    return constant(every.agg(F.transform(rows, lambda r: r["m"]).alias("slots")))
 
 
 def looked_up(slots: Column, key: Column) -> Column:
@@ -119,11 +109,11 @@ class Tokenizer:
             raise ValueError("ranks must be 0, 1, 2 ... and hold every byte")
 
     def rank_map(self) -> Column:
-        return constant_map(self.spark, {k.decode("latin-1"): v for k, v in self.ranks.items()}, "int")
+        return constant_map(self.spark.createDataFrame([(k.decode("latin-1"), v) for k, v in self.ranks.items()], "key string, value int", verifySchema=False))
 
     def pieces(self) -> Column:
-        by_id = sorted(self.ranks, key=self.ranks.__getitem__)
-        return constant(self.spark, [p.decode("latin-1") for p in by_id], "array<string>")
+        rows = self.spark.createDataFrame([(v, k.decode("latin-1")) for k, v in self.ranks.items()], "id int, piece string", verifySchema=False)
+        return constant(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda r: r["piece"]).alias("pieces")))
 
     def frequent(self, texts: DataFrame) -> Column:
         """The constant map of frequent words, from a sample of at most about SAMPLE rows."""
@@ -131,7 +121,7 @@ class Tokenizer:
         words = (texts if n <= SAMPLE else texts.sample(SAMPLE / n, seed=4)).select(F.explode(words_of(F.col("text"), self.pattern)).alias("w"))
         top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS).select("w")
         ranks = self.rank_map()
-        return constant_map(self.spark, dict(top.select("w", folded(F.col("w"), ranks).alias("ids")).toLocalIterator()), "string")
+        return constant_map(top.select(F.col("w").alias("key"), folded(F.col("w"), ranks).alias("value")))
 
     def ids(self, text: Column, known: Column) -> Column:
         """Ids of each pre-token of a text, joined by spaces, as an array in the order of the text."""
