@@ -1,15 +1,17 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A text is cut into pre-tokens by the tokenizer's pattern. A distinct word is an array of one-byte pieces; aggregate()
+A text is cut into pre-tokens by the tokenizer's pattern. A distinct word is an array of byte ids; aggregate()
 folds over it, each round merging the leftmost pair of lowest rank, with the ranks of neighbouring pairs kept
-beside the pieces, so that a round looks up two ranks only. The rank map is a literal of
-the plan: an array of small maps, addressed by the hash of a pair's bytes. Decoding looks each id up
-in a constant array of pieces and concatenates them.
+beside the pieces, so that a round looks up two ranks only. The rank map is a literal of the plan: from a pair of
+ids to the rank of their bytes together, which is the id of the merged piece. Decoding looks each id up in a literal
+array of pieces and concatenates them.
 
-Pieces are strings of code points below 256, one for each byte.
+Literals are flat bytes (one unsafe array each), so a task reads them in with one copy. Pieces are strings of code
+points below 256, one for each byte.
 
-Frequent words are encoded once: the WORDS most frequent words of a bounded sample of documents form a second
-constant map from words to ids. It only saves time: words that it lacks are folded, once for each text they are in.
+Known words are looked up, not folded: the vocabulary's own strings, which the tokenizer's library takes whole, and the
+WORDS most frequent words of a bounded sample of documents, each folded once. This only saves time: other words are
+folded where they stand.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import base64
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Addresses of the constant maps.
-SLOTS = 1 << 16
+#: Addresses of the literal maps, a power of two.
+SLOTS = 1 << 18
 #: Rank of pairs that never merge.
 NONE = (1 << 31) - 1
+#: Factors that join a pair of ids into a key and into an address.
+KEY, ADDRESS = 1 << 20, 7919
 #: Bounds of the frequent words and of the documents that they are counted in.
-WORDS, SAMPLE = 1 << 17, 20_000
+WORDS, SAMPLE = 1 << 18, 20_000
 
 #: White space as the tokenizer's pattern language knows it.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -41,58 +45,58 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def constant(row: DataFrame) -> Column:
-    """The one value of a one-row frame as a literal: one JVM object, however often the plan names it, and nothing in Python."""
+    """The one value of a one-row frame as a literal of flat bytes, however often the plan names it; nothing passes through Python."""
     jvm = row.sparkSession.sparkContext._jvm
-    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal.create(row._jdf.collectAsList().get(0).get(0), row._jdf.schema().apply(0).dataType())
+    value = row._jdf.queryExecution().executedPlan().executeCollect()[0].getArray(0).copy()
+    literal = jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, row._jdf.schema().apply(0).dataType())
     return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
 
 
 def constant_map(entries: DataFrame) -> Column:
-    """A constant array of maps from the rows (key, value): SLOTS maps, each with the entries whose key has this slot."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS))
-    maps = entries.groupBy(slot.alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+    """A literal array of SLOTS maps from the rows (slot, key, value), each with the entries of its slot."""
+    maps = entries.groupBy(F.col("slot").cast("bigint").alias("id")).agg(F.collect_list(F.struct("key", "value")).alias("e"))
+    rows = F.array_sort(F.collect_list(F.struct("id", "e")))
     every = entries.sparkSession.range(SLOTS).join(maps, "id", "left")
-    rows = F.array_sort(F.collect_list(F.struct("id", "m")), lambda a, b: (a["id"] - b["id"]).cast("int"))
-    return constant(every.agg(F.transform(rows, lambda r: r["m"]).alias("slots")))
+    return constant(every.agg(F.transform(rows, lambda r: F.map_from_entries(r["e"])).alias("slots")))
 
 
-def looked_up(slots: Column, key: Column) -> Column:
-    return F.element_at(F.get(slots, F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")), key)
+def word_slot(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(SLOTS - 1).cast("int")
 
 
-def let(value: Column, then) -> Column:
-    """then(value) with the value computed once, however often then() names it, also inside its lambdas."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def pair_slot(a: Column, b: Column) -> Column:
+    return (a * ADDRESS + b).bitwiseAND(SLOTS - 1)
 
 
-def one_byte_pieces(word: Column) -> Column:
-    """The word's UTF-8 bytes, as one-byte pieces."""
-    return F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
+def pair_key(a: Column, b: Column) -> Column:
+    return a.cast("bigint") * KEY + b
 
 
-def folded(word: Column, ranks: Column) -> Column:
-    """The ids of a word (not empty), joined by spaces."""
-    rank = lambda pair: F.coalesce(looked_up(ranks, pair), F.lit(NONE))
-    pieces = one_byte_pieces(word)
-    start = let(pieces, lambda p: F.struct(p.alias("p"), F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: rank(F.concat(a, b))).alias("r"), F.lit(0).alias("at")))
+def folded(word: Column, bytes_: Column, ranks: Column) -> Column:
+    """The ids of a word (not empty): bytes_ has the id of each byte, ranks those of pairs of ids."""
+    rank = lambda a, b: F.coalesce(F.element_at(F.get(ranks, pair_slot(a, b)), pair_key(a, b)), F.lit(NONE))
+    pieces = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(bytes_, F.ascii(c)))
+    beside = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), rank)
+    start = F.get(F.transform(F.array(pieces), lambda p: F.struct(p.alias("p"), beside(p).alias("r"), F.lit(1).alias("at"))), F.lit(0))
 
     def step(acc: Column, turn: Column) -> Column:
+        # at: where the lowest rank is, from 1; 0 once no pair merges
         p, r, at = acc["p"], acc["r"], acc["at"]
-        least = F.array_min(r)
-        found = F.struct(p.alias("p"), r.alias("r"), F.when(least == NONE, 0).otherwise(F.array_position(r, least).cast("int")).alias("at"))
-        new = F.concat(F.get(p, at - 1), F.get(p, at))
-        left = F.when(at == 1, F.slice(r, F.lit(1), F.lit(0))).otherwise(F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.concat(F.get(p, at - 2), new)))))
+        found = F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.array_position(r, F.array_min(r)).cast("int"), F.lit(0)).alias("at"))
+        new = F.get(r, at - 1)
+        left = F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), new)))).otherwise(F.slice(r, F.lit(1), F.lit(0)))
+        right = F.when(at < F.size(r), F.concat(F.array(rank(new, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r)))).otherwise(F.slice(r, F.lit(1), F.lit(0)))
         merged = F.struct(
             F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
-            F.concat(left, F.array(rank(F.concat(new, F.get(p, at + 1)))), F.slice(r, at + 2, F.size(r))).alias("r"),
-            F.lit(0).alias("at"),
+            F.concat(left, right).alias("r"),
+            at.alias("at"),
         )
+        ended = F.struct(p.alias("p"), r.alias("r"), F.lit(0).alias("at"))
         # odd turns choose the pair, even turns merge it
-        return F.when(turn % 2 == 1, found).when(at == 0, acc).otherwise(merged)
+        return F.when(at == 0, acc).when(turn % 2 == 1, found).when(F.get(r, at - 1) == NONE, ended).otherwise(merged)
 
     turns = F.sequence(F.lit(1), F.octet_length(word) * 2 - 2)
-    whole = F.when(F.octet_length(word) > 1, F.aggregate(turns, start, step, lambda acc: acc["p"])).otherwise(pieces)
-    return F.array_join(F.transform(whole, lambda p: looked_up(ranks, p).cast("string")), " ")
+    return F.when(F.octet_length(word) > 1, F.aggregate(turns, start, step, lambda acc: acc["p"])).otherwise(pieces)
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -108,39 +112,38 @@ class Tokenizer:
         if sorted(self.ranks.values()) != list(range(len(self.ranks))) or any(bytes([b]) not in self.ranks for b in range(256)):
             raise ValueError("ranks must be 0, 1, 2 ... and hold every byte")
 
+        self.bytes = F.lit([self.ranks[bytes([b])] for b in range(256)])
+
     def rank_map(self) -> Column:
-        return constant_map(self.spark.createDataFrame([(k.decode("latin-1"), v) for k, v in self.ranks.items()], "key string, value int", verifySchema=False))
+        ranks = self.ranks
+        pairs = ((ranks.get(t[:k]), ranks.get(t[k:]), v) for t, v in ranks.items() for k in range(1, len(t)))
+        rows = self.spark.createDataFrame([x for x in pairs if x[0] is not None and x[1] is not None], "a int, b int, value int", verifySchema=False)
+        a, b = F.col("a"), F.col("b")
+        return constant_map(rows.select(pair_slot(a, b).alias("slot"), pair_key(a, b).alias("key"), "value"))
 
     def pieces(self) -> Column:
         rows = self.spark.createDataFrame([(v, k.decode("latin-1")) for k, v in self.ranks.items()], "id int, piece string", verifySchema=False)
         return constant(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda r: r["piece"]).alias("pieces")))
 
-    def frequent(self, texts: DataFrame) -> Column:
-        """The constant map of frequent words, from a sample of at most about SAMPLE rows."""
-        n = max(1, texts.count())
-        words = (texts if n <= SAMPLE else texts.sample(SAMPLE / n, seed=4)).select(F.explode(words_of(F.col("text"), self.pattern)).alias("w"))
-        top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS).select("w")
-        ranks = self.rank_map()
-        return constant_map(top.select(F.col("w").alias("key"), folded(F.col("w"), ranks).alias("value")))
-
-    def ids(self, text: Column, known: Column) -> Column:
-        """Ids of each pre-token of a text, joined by spaces, as an array in the order of the text."""
-        ranks = self.rank_map()
-
-        def with_known(words: Column) -> Column:
-            return F.struct(words.alias("words"), F.transform(words, lambda w: looked_up(known, w)).alias("known"))
+    def vocabulary(self) -> DataFrame:
+        """key, value: strings of the vocabulary and their one id."""
+        rows = [(k.decode(errors="replace"), [v]) for k, v in self.ranks.items() if k.decode(errors="replace").encode() == k]
+        return self.spark.createDataFrame(rows, "key string, value array<int>", verifySchema=False)
 
-        def with_new(s: Column) -> Column:
-            new = F.array_distinct(F.filter(s["words"], lambda w, i: F.get(s["known"], i).isNull()))
-            return F.struct(s["words"].alias("words"), s["known"].alias("known"), new.alias("new"))
-
-        def with_folded(s: Column) -> Column:
-            return F.struct(s["words"].alias("words"), s["known"].alias("known"), s["new"].alias("new"), F.transform(s["new"], lambda w: folded(w, ranks)).alias("folded"))
-
-        def all_ids(s: Column) -> Column:
-            return F.transform(s["words"], lambda w, i: F.coalesce(F.get(s["known"], i), F.get(s["folded"], (F.array_position(s["new"], w) - 1).cast("int"))))
-
-        return let(let(let(let(words_of(text, self.pattern), with_known), with_new), with_folded), all_ids)
+    def known(self, texts: DataFrame, ranks: Column) -> Column:
+        """The literal map of known words, the frequent ones from a sample of about SAMPLE rows."""
+        n = max(1, texts.count())
+        words = (texts if n <= SAMPLE else texts.sample(SAMPLE / n, seed=4)).select(F.explode(words_of(F.col("text"), self.pattern)).alias("key"))
+        own = self.vocabulary()
+        counts = words.groupBy("key").count().join(own.select("key"), "key", "left_anti")
+        top = counts.orderBy(F.desc("count"), "key").limit(WORDS).select("key").repartition(16)
+        rows = own.unionByName(top.select("key", folded(F.col("key"), self.bytes, ranks).alias("value")))
+        return constant_map(rows.select(word_slot(F.col("key")).alias("slot"), "key", "value"))
+
+    def ids(self, text: Column, known: Column, ranks: Column) -> Column:
+        """The ids of a text."""
+        one = lambda w: F.coalesce(F.element_at(F.get(known, word_slot(w)), w), folded(w, self.bytes, ranks))
+        return F.flatten(F.transform(words_of(text, self.pattern), one))
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
@@ -156,9 +159,8 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     """
     tokenizer = Tokenizer(docs.sparkSession, path, pattern)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    text = F.coalesce("text", F.lit(""))
-    ids = let(F.array_join(tokenizer.ids(text, tokenizer.frequent(rows.select(text.alias("text")))), " "), lambda t: F.when(t == "", F.array().cast("array<int>")).otherwise(F.split(t, " ").cast("array<int>")))
-    return rows.select("doc_id", ids.alias("ids"))
+    text, ranks = F.coalesce("text", F.lit("")), tokenizer.rank_map()
+    return rows.select("doc_id", tokenizer.ids(text, tokenizer.known(rows.select(text.alias("text")), ranks), ranks).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
