@@ -28,7 +28,7 @@ NONE = (1 << 31) - 1
 #: Factors that join a pair of ids into a key and into an address.
 KEY, ADDRESS = 1 << 20, 7919
 #: Bounds of the frequent words and of the documents that they are counted in.
-WORDS, SAMPLE = 1 << 18, 20_000
+WORDS, SAMPLE = 3 << 17, 20_000
 
 #: White space as the tokenizer's pattern language knows it.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -72,6 +72,11 @@ def pair_key(a: Column, b: Column) -> Column:
     return a.cast("bigint") * KEY + b
 
 
+def joined(*arrays: Column) -> Column:
+    """Arrays end to end; quicker in lambdas than concat()."""
+    return F.flatten(F.array(*arrays))
+
+
 def folded(word: Column, bytes_: Column, ranks: Column) -> Column:
     """The ids of a word (not empty): bytes_ has the id of each byte, ranks those of pairs of ids."""
     rank = lambda a, b: F.coalesce(F.element_at(F.get(ranks, pair_slot(a, b)), pair_key(a, b)), F.lit(NONE))
@@ -84,11 +89,12 @@ def folded(word: Column, bytes_: Column, ranks: Column) -> Column:
         p, r, at = acc["p"], acc["r"], acc["at"]
         found = F.struct(p.alias("p"), r.alias("r"), F.coalesce(F.array_position(r, F.array_min(r)).cast("int"), F.lit(0)).alias("at"))
         new = F.get(r, at - 1)
-        left = F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), new)))).otherwise(F.slice(r, F.lit(1), F.lit(0)))
-        right = F.when(at < F.size(r), F.concat(F.array(rank(new, F.get(p, at + 1))), F.slice(r, at + 2, F.size(r)))).otherwise(F.slice(r, F.lit(1), F.lit(0)))
+        none = F.slice(r, F.lit(1), F.lit(0))
+        left, before = F.when(at > 1, F.array(rank(F.get(p, at - 2), new))).otherwise(none), F.when(at > 2, F.slice(r, F.lit(1), at - 2)).otherwise(none)
+        right = F.when(at < F.size(r), F.array(rank(new, F.get(p, at + 1)))).otherwise(none)
         merged = F.struct(
-            F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
-            F.concat(left, right).alias("r"),
+            joined(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"),
+            joined(before, left, right, F.slice(r, at + 2, F.size(r))).alias("r"),
             at.alias("at"),
         )
         ended = F.struct(p.alias("p"), r.alias("r"), F.lit(0).alias("at"))
