@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns plus a randomness test battery with length-aware false-discovery control.
 
-Candidates of the battery are runs of [A-Za-z0-9+/_=-] of MIN_TOKEN code points or more that no pattern covers. Each
+Candidates of the battery are runs of [A-Za-z0-9+/_-], with trailing '=' as padding, of 20 code points or more that no pattern
+covers; an inner '=' parts a name from its value. Each
 gets an inferred encoding (the smallest alphabet that holds it: hex, base32, base64) and three tests of
 "these symbols are independent and uniform": chi-squared over the alphabet (folded into at most 8 classes, so that
 expected counts stay above one), Wald-Wolfowitz runs above and below the alphabet's middle, and lag-one serial
@@ -29,7 +30,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Runs that may hold candidates, and the candidates in a run: '=' is padding at its end and a separator elsewhere.
+MIN_TOKEN = 20
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+$)?")
 SYMBOLS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 RANK = {name: {c: i for i, c in enumerate(s)} for name, s in SYMBOLS.items()}
 RANK["hex"] |= {c.upper(): i for c, i in RANK["hex"].items()}
@@ -134,13 +138,13 @@ def against_words(token: str) -> float:
 def random_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float, float]]:
     """(start, end, random-<encoding>, P under randomness, weighted P against words) of the accepted tokens."""
     found = []
-    for m in CANDIDATE.finditer(text):
-        # runs of one class (words, rules, numbers) hold no evidence; skip them before the tests
-        token = m[0]
-        if any(a < m.end() and m.start() < b for a, b, _ in taken) or (kind := encoding(token)) is None:
-            continue
-        bits = len(token.rstrip("=")) * math.log2(len(SYMBOLS[kind]))
-        found.append((m.start(), m.end(), kind, bits, token))
+    for run in RUN.finditer(text):
+        for m in CANDIDATE.finditer(run[0]):
+            token, start, end = m[0], run.start() + m.start(), run.start() + m.end()
+            if len(token) < MIN_TOKEN or any(a < end and start < b for a, b, _ in taken) or (kind := encoding(token)) is None:
+                continue
+            bits = len(token.rstrip("=")) * math.log2(len(SYMBOLS[kind]))
+            found.append((start, end, kind, bits, token))
     if not found:
         return []
     mean = sum(f[3] for f in found) / len(found)

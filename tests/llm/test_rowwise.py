@@ -109,6 +109,22 @@ def test_battery_adds_random_tokens_and_leaves_words():
     assert not any(secrets.random_spans(w, []) for w in words)
 
 
+def test_battery_takes_values_behind_an_equals_sign():
+    import base64
+    import random
+
+    r = random.Random(6)
+    for before, after in (("AWS_SECRET_ACCESS_KEY=", ""), ("SESSION=", ""), ("see https://x.example/a?sig=", "&n=1"), ("A=B=", " end"), ("==", "")):
+        hits = 0
+        for n in [30] * 20 + [31] * 20:  # without and with padding
+            key = base64.b64encode(r.randbytes(n)).decode()
+            alone, got = secrets.random_spans(key, []), secrets.random_spans(before + key + after, [])
+            assert all((a, b) == (len(before), len(before) + len(key)) for a, b, *_ in got) and len(got) <= len(alone)
+            hits += len(got)
+        assert hits >= 36
+    assert not any(secrets.random_spans(w, []) for w in ("internationalisation=of_things_and_others", "=" * 40, "name=" * 20, "AWS_SECRET_ACCESS_KEY=none"))
+
+
 def plain_windows(text, items):
     words = WORD.findall(lower(text))
     hit, met = [False] * len(words), set()
