@@ -178,6 +178,14 @@ def area_windows(spark, sf):
     return workload.area_windows(centers, 0.001024)
 
 
+@query(
+    """select pid as qid, least(greatest(x - 0.016e0, 0e0), 1e0) as lx, least(greatest(y - 0.016e0, 0e0), 1e0) as ly,
+    least(greatest(x + 0.016e0, 0e0), 1e0) as hx, least(greatest(y + 0.016e0, 0e0), 1e0) as hy from pts_orders"""
+)
+def area_windows_all(spark, sf):
+    return workload.area_windows(_all_centers(spark, sf), 0.001024)
+
+
 @query("select * from (values (0.000064e0, '00064'), (0.000256e0, '00256'), (0.001024e0, '01024'), (0.004096e0, '04096'), (0.016384e0, '16384'), (0.0000005e0, '0p000000500')) t(fraction, tag)")
 def selectivity_tags(spark, sf):
     rows = spark.createDataFrame([(v,) for v in (0.000064, 0.000256, 0.001024, 0.004096, 0.016384, 0.0000005)], "fraction double")
@@ -265,6 +273,10 @@ def normalized_entropy(spark, sf):
 # --- nearest neighbours
 
 
+def _all_centers(spark, sf):
+    return fx.pts_orders(spark, sf).select(F.col("pid").alias("cid"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+
+
 def _centers(spark, sf):
     return fx.pts_orders(spark, sf).where("pid % 1500 = 0").select(F.col("pid").alias("cid"), F.col("x").alias("cx"), F.col("y").alias("cy"))
 
@@ -287,6 +299,20 @@ def knn_centroid_spread(spark, sf):
     return grids.local_spread(near).select("cid", *(F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "sd_x", "sd_y")))
 
 
+# Every point is a centre; SQL would take all pairs of points, so a test has brute force instead.
+
+
+@query()
+def knn_join_all(spark, sf):
+    return range_join.knn_join(_all_centers(spark, sf), fx.pts_orders(spark, sf), 8).select("cid", "pid", F.round("d2", 12).alias("d2"), "rank")
+
+
+@query()
+def knn_centroid_spread_all(spark, sf):
+    near = range_join.knn_join(_all_centers(spark, sf), fx.pts_orders(spark, sf), 8).join(fx.pts_orders(spark, sf), "pid")
+    return grids.local_spread(near).select("cid", *(F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "sd_x", "sd_y")))
+
+
 # --- layouts
 
 META = "min(x) as x_lo, min(y) as y_lo, max(x) as x_hi, max(y) as y_hi, count(*) as n"
