@@ -3,7 +3,8 @@
 Archives are rows (archive, content) of a table, so they go wherever Spark can write; spark.read.format("binaryFile")
 gives ordinary .warc and .warc.gz files in the same shape. The reader checks every member (gzip checks, version
 line, headers, lengths, payload digest). After a failed check it searches for the next member (or, in
-uncompressed archives, version line) that passes, goes on from there, and logs the bytes between as a quarantined gap.
+uncompressed archives and inside unpacked members, version line) that passes, goes on from there, and logs the bytes between as a
+quarantined gap. What a member gave before a gzip error is read by the same checks.
 """
 
 from __future__ import annotations
@@ -147,6 +148,36 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     return record, end + 4
 
 
+class Broken(Damaged):
+    """A gzip member fails its checks; plain is what was inflated before."""
+
+    def __init__(self, reason: str, plain: bytes):
+        super().__init__(reason)
+        self.plain = plain
+
+
+def inflated(data: bytes, at: int, stop: int | None = None) -> tuple[bytes, int]:
+    """What a broken member gives, byte by byte in the last piece, and the place by which it gave that or `stop` bytes."""
+    inflater, view, pos, plain, n = zlib.decompressobj(31), memoryview(data), at, [], 0
+    step = PIECE
+    while pos < len(data) and not inflater.eof:
+        spare = inflater.copy() if step > 1 else None
+        try:
+            out = inflater.decompress(view[pos : pos + step])
+        except zlib.error:
+            out = None
+        if step > 1 and (out is None or stop is not None and n + len(out) >= stop):
+            inflater, step = spare, 1
+            continue
+        if out is None:
+            break
+        plain.append(out)
+        n, pos = n + len(out), min(pos + step, len(data))
+        if stop is not None and n >= stop:
+            break
+    return b"".join(plain), pos
+
+
 def unpack(data: bytes, at: int) -> tuple[bytes, int]:
     """The gzip member at this place and the place behind it."""
     inflater, view, pos, plain = zlib.decompressobj(31), memoryview(data), at, []
@@ -155,51 +186,80 @@ def unpack(data: bytes, at: int) -> tuple[bytes, int]:
             plain.append(inflater.decompress(view[pos : pos + PIECE]))
             pos += PIECE
     except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
+        raise Broken(f"gzip: {e}", inflated(data, at)[0]) from None
     if not inflater.eof:
-        raise Damaged("gzip: the member does not end")
+        raise Broken("gzip: the member does not end", b"".join(plain))
     return b"".join(plain), min(pos, len(data)) - len(inflater.unused_data)
 
 
-def one(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member (or the plain record) at this place, and the place behind."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        record, end = parse_record(data, at)
-        return [record], end
-    plain, end = unpack(data, at)
-    records, pos = [], 0
+_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
+_VERSION = re.compile(rb"WARC/\d\.\d\r\n")
+
+
+def inside(plain: bytes) -> tuple[list[tuple], int]:
+    """(record, None) and (None, reason) of each record and gap of a member's bytes, and the place behind the last record."""
+    items, pos, last, reason = [], 0, 0, None
     while pos < len(plain):
-        record, pos = parse_record(plain, pos)
-        records.append(record)
-    return records, end
+        try:
+            record, end = parse_record(plain, pos)
+        except Damaged as e:
+            reason = reason or str(e)
+            m = _VERSION.search(plain, pos + 1)
+            pos = m.start() if m else len(plain)
+            continue
+        items += [(None, reason)] * (reason is not None) + [(record, None)]
+        pos, last, reason = end, end, None
+    return items + [(None, reason)] * (reason is not None), last
 
 
-_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
+def one(data: bytes, at: int) -> tuple[list[tuple], int, str | None]:
+    """The items of the member (or the plain record) at this place, the place behind, and why a member is broken.
+
+    Of a broken member the place is where its last good record ended. Without a good record the bytes are damaged, and so is a
+    broken member that is one record and no more, as the check that fails is the record's own.
+    """
+    if data[at : at + 2] != b"\x1f\x8b":
+        record, end = parse_record(data, at)
+        return [(record, None)], end, None
+    try:
+        (plain, end), broken = unpack(data, at), None
+    except Broken as e:
+        plain, end, broken = e.plain, at, str(e)
+    items, last = inside(plain)
+    if (plain or broken) and not last or broken and len(items) == 1 and last == len(plain):
+        raise Damaged(broken or items[0][1])
+    if broken:
+        return [i for i in items if i[0]], inflated(data, at, last)[1], broken
+    return items, end, None
 
 
 def salvage(data: bytes):
-    """Yields (offset, end, record, reason): records in order, and gaps (record None) with the reason of the first failed check."""
-    at = 0
+    """Yields (offset, end, record, reason): records in order, and gaps (record None) with the reason of the first failed check.
+
+    Inside a gzip member, records and gaps have the member's offset and end. A member that breaks off gives the records before
+    and a gap; both end where the next bytes that pass begin.
+    """
+    at, held = 0, None
     while at < len(data):
         try:
-            records, end = one(data, at)
+            items, end, broken = one(data, at)
         except Damaged as e:
-            start, reason = at, str(e)
-            while True:
-                m = _NEXT.search(data, at + 1)
-                if not m:
-                    yield start, len(data), None, reason
-                    return
-                at = m.start()
-                try:
-                    records, end = one(data, at)
-                    break
-                except Damaged:
-                    continue
-            yield start, at, None, reason
-        for record in records:
-            yield at, end, record, None
+            held = held or (at, [], str(e))
+            m = _NEXT.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if held:
+            yield from ((held[0], at, *i) for i in [*held[1], (None, held[2])])
+            held = None
+        if broken:
+            held = (at, items, broken)
+            m = _NEXT.search(data, max(end, at + 1))
+            at = m.start() if m else len(data)
+            continue
+        yield from ((at, end, *i) for i in items)
         at = end
+    if held:
+        yield from ((held[0], len(data), *i) for i in [*held[1], (None, held[2])])
 
 
 RECORDS = StructType(

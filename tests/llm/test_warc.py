@@ -66,6 +66,26 @@ def test_salvage_of_compressed_members():
     assert [x[3] for x in warc.salvage(b"no archive at all")] == ["no version line"]
 
 
+def test_salvage_inside_a_member():
+    import random
+
+    r = random.Random(2)
+    plain = [warc.write_record(i, i, f"http://h/{i}", f"page {i} ".encode() + r.randbytes(9000)) for i in range(6)]
+    hurt = b"".join(plain).replace(b"page 2 ", b"pagE 2 ", 1)
+    for level in (0, 6):
+        whole = gzip.compress(hurt, level)
+        found = list(warc.salvage(whole + warc.member(records(8)[7])))
+        assert ids(found) == [0, 1, 3, 4, 5, 7] and gaps(found) == [(0, len(whole))]
+        good = gzip.compress(b"".join(plain), level)
+        cut = good[: len(good) * 3 // 4]
+        found = list(warc.salvage(cut))
+        assert ids(found) == [0, 1, 2, 3] and gaps(found) == [(0, len(cut))]
+        found = list(warc.salvage(cut + warc.member(records(8)[7])))
+        assert ids(found) == [0, 1, 2, 3, 7] and gaps(found) == [(0, len(cut))]
+        found = list(warc.salvage(good[:-8] + b"12345678" + warc.member(records(8)[7])))
+        assert ids(found) == [0, 1, 2, 3, 4, 5, 7] and gaps(found) == [(0, len(good))]
+
+
 def test_salvage_of_plain_records():
     plain = records(5)
     starts = [sum(map(len, plain[:k])) for k in range(6)]
