@@ -7,7 +7,7 @@ values, and one logistic unit combines them into a probability.
 
 Scoring looks two bytes up at a time in tables of byte pairs (WIDTH / 2 tables of 65,536 rows), so a window
 costs WIDTH / 2 lookups. Training is Adam on the logistic loss, with gradients to the windows that won the
-pooling; it sees a bounded sample of labelled rows (SAMPLE) and of each row's chunks (TRAIN_CHUNKS, evenly spread).
+pooling; it sees a bounded sample of labelled rows (SAMPLE), and of each row the whole text, SLAB chunks at a time.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import arrow_map, ids_and_text, ship, utf8
 
 FILTERS, WIDTH, CHUNK = 24, 6, 256
 THRESHOLD = 0.3
-#: Labelled rows used for training at most (the first by hash of the id), and chunks of each.
-SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH = 3000, 12, 8, 16
-STEP = 1 << 16
+#: Labelled rows used for training at most (the first by hash of the id).
+SAMPLE, EPOCHS, BATCH = 3000, 8, 16
+#: Window starts scored at a time, and chunks trained on at a time.
+STEP, SLAB = 1 << 16, 64
 
 
 class Network:
@@ -69,13 +70,12 @@ class Network:
         return 1 / (1 + float(np.exp(-np.clip(self.combined(self.pooled(text)), -40, 40))))
 
 
-def chunks_of(text: bytes, most: int = TRAIN_CHUNKS) -> np.ndarray:
-    """Evenly spread chunks of a text, each CHUNK + WIDTH bytes with the seam."""
+def chunks_of(text: bytes) -> np.ndarray:
+    """All chunks of a text, each CHUNK + WIDTH bytes with the seam: a view."""
     n = max(1, -(-len(text) // CHUNK))
     data = np.zeros(n * CHUNK + WIDTH, np.uint8)
     data[: len(text)] = np.frombuffer(text, np.uint8)
-    picked = np.unique(np.linspace(0, n - 1, min(n, most)).astype(int))
-    return np.stack([data[k * CHUNK : (k + 1) * CHUNK + WIDTH] for k in picked])
+    return np.lib.stride_tricks.sliding_window_view(data, CHUNK + WIDTH)[::CHUNK]
 
 
 def fit(rows: list[tuple[np.ndarray, int]], seed: int = 9) -> Network:
@@ -109,12 +109,15 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = 9) -> Network:
 
 
 def _backward(net: Network, chunks: np.ndarray, y: int, grads: list[np.ndarray]) -> None:
-    starts = np.arange(CHUNK)
-    z = net.tables[0][chunks[:, starts]]
-    for k in range(1, WIDTH):
-        z = z + net.tables[k][chunks[:, starts + k]]
-    best = z.argmax(axis=1)
-    top = np.take_along_axis(z, best[:, None, :], axis=1)[:, 0] + net.bias
+    starts, tops, bests = np.arange(CHUNK), [], []
+    for at in range(0, len(chunks), SLAB):  # only the winners of a slab are kept
+        slab = chunks[at : at + SLAB]
+        z = net.tables[0][slab[:, starts]]
+        for k in range(1, WIDTH):
+            z += net.tables[k][slab[:, starts + k]]
+        bests.append(z.argmax(axis=1))
+        tops.append(np.take_along_axis(z, bests[-1][:, None, :], axis=1)[:, 0])
+    best, top = np.concatenate(bests), np.concatenate(tops) + net.bias
     pooled = np.maximum(top, 0)
     error = 1 / (1 + np.exp(-np.clip(net.combined(pooled), -40, 40))) - y
     n, f = pooled.shape
@@ -145,16 +148,15 @@ def held_out(column: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Network:
     """A network from the labelled documents that are not held out.
 
-    sample bounds the labelled rows used; their chunks (at most TRAIN_CHUNKS a row) are all that reaches the driver.
+    sample bounds the labelled rows used; their texts, whole, are all that reaches the driver.
     Labels that are null, or of no document, are left out; without labels the network is untrained.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out())
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8("text").alias("text")).join(F.broadcast(picked), "doc_id")
-    schema = StructType([StructField("doc_id", LongType()), StructField("chunks", BinaryType()), StructField("quality", IntegerType())])
-    found = arrow_map(rows.select("doc_id", "text", "quality"), lambda it: ((i, chunks_of(t).tobytes(), y) for i, t, y in it), schema).collect()
+    found = rows.select("doc_id", "text", "quality").collect()
     found.sort(key=lambda r: (r[0], r[2], r[1]))
-    return fit([(np.frombuffer(r[1], np.uint8).reshape(-1, CHUNK + WIDTH), r[2]) for r in found])
+    return fit([(chunks_of(r[1]), r[2]) for r in found])
 
 
 SCORES = StructType([StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())])

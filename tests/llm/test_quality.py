@@ -67,3 +67,22 @@ def test_gradients_equal_differences():
         down = loss()
         part[at] = kept
         assert abs((up - down) / 2e-3 - grad[at]) < 0.05 * abs(grad[at]) + 1e-3
+
+
+def test_training_reads_whole_texts(monkeypatch):
+    text = b"ab " * 10000
+    n = -(-len(text) // quality.CHUNK)
+    start = quality.Network(9).tables[:, ord("~")]
+    for c in range(n):  # a mark that only one chunk has
+        at = c * quality.CHUNK + 100
+        marked = text[:at] + b"~" * 12 + text[at + 12 :]
+        chunks = quality.chunks_of(marked)
+        assert len(chunks) == n and (chunks[c] == ord("~")).any()
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    assert (quality.fit([(chunks, 1)]).tables[:, ord("~")] != start).any()
+    got = []
+    for slab in (1, 7, 1000):
+        monkeypatch.setattr(quality, "SLAB", slab)
+        got.append([np.zeros(p.shape) for p in quality.Network(4).params()])
+        quality._backward(quality.Network(4), chunks, 1, got[-1])
+    assert all(np.allclose(a, b) for other in got[1:] for a, b in zip(got[0], other, strict=True))
