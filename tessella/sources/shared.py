@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, set here only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; where it is unset, a new folder in local mode (tests) and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -32,3 +34,19 @@ def remove(df: DataFrame) -> None:
         if "/tessella/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Written tables that go when the block ends: with Scratch() as keep: t = keep(df, "name")."""
+
+    def __enter__(self):
+        self.tables: list[DataFrame] = []
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def __exit__(self, *error) -> None:
+        for t in self.tables:
+            remove(t)
