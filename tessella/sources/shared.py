@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,8 +37,14 @@ def remove(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, as the shuffle files of finished jobs stay on the executors' disks until it does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
-    """Written tables that go when the block ends: with Scratch() as keep: t = keep(df, "name")."""
+    """Written tables that go when the block ends, or before by drop(): with Scratch() as keep: t = keep(df, "name")."""
 
     def __enter__(self):
         self.tables: list[DataFrame] = []
@@ -47,6 +54,13 @@ class Scratch:
         self.tables.append(written(df, name))
         return self.tables[-1]
 
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(t)
+            self.tables = [x for x in self.tables if x is not t]
+        if tables:
+            release(tables[0].sparkSession)
+
     def __exit__(self, *error) -> None:
         for t in self.tables:
             remove(t)
