@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.shared import Scratch, remove, shared_dir, written
+from ..sources.shared import Scratch, release, remove, shared_dir, written
 
-__all__ = ["Scratch", "arrow_map", "ids_and_text", "remove", "shared_dir", "ship", "table", "utf8", "worker_cache", "written"]
+__all__ = ["Scratch", "arrow_map", "ids_and_text", "release", "remove", "shared_dir", "ship", "table", "utf8", "worker_cache", "written"]
 
 #: Rows per Arrow batch that leaves a worker; bounds what a worker holds besides its input batch.
 OUT_ROWS = 1024
