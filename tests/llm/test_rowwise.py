@@ -196,3 +196,34 @@ def test_templates_fold_and_stay_in_the_sandbox():
     for bad in ("{{ m.__class__ }}", "{{ f() }}", "{{ m | pickle }}", "{% import os %}", "{% for m in messages %}", "{{ _x }}"):
         with pytest.raises(chat.TemplateError):
             chat.parse(bad)
+
+
+def test_battery_finds_random_tokens_of_every_encoding_and_few_words():
+    import random
+    import string
+
+    r = random.Random(11)
+    words = ["the", "weather", "station", "reported", "morning", "against", "government", "history", "world", "people", "under", "between", "several", "of", "and", "in", "that", "with", "house", "from", "which"]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for symbols in (low, up, dig + "ABCDEF", up + "234567", low + "234567", low + dig, up + dig, low + up + dig, low + up + dig + "+/", low + up + dig + "-_"):
+        hits = 0
+        for _ in range(60):
+            before, key = prose(80) + " ", "".join(r.choice(symbols) for _ in range(40))
+            hits += any(s[:2] == (len(before), len(before) + 40) for s in secrets.random_spans(before + key + " " + prose(20), []))
+        assert hits >= 54, symbols
+    false = 0
+    for k in range(3000):
+        parts = [r.choice(words) for _ in range(8)]
+        token = ("".join(parts), "".join(p.title() for p in parts), "_".join(parts), "/".join(parts))[k % 4]
+        false += bool(secrets.random_spans(prose(60) + " " + token, []))
+    assert false <= 30
+
+
+def test_a_long_text_full_of_spans_is_scanned_in_one_pass():
+    import time
+
+    text = "password=abcdefgh " * 30_000 + "x" * 30 + " word" * 100_000
+    began = time.time()
+    base = secrets.base_spans(text)
+    assert len(base) == 30_000 and not secrets.random_spans(text, base) and time.time() - began < 10
