@@ -52,7 +52,7 @@ ENGLISH = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60,
 CAPITAL, DIGIT, SIGN = 0.03, 4.0, 1.0
 
 #: Level of the randomness tests, expected share of false discoveries, spread of words, weight of the prior in symbols.
-ALPHA, FALSE_SHARE, SPREAD, PRIOR = 0.01, 0.002, 1.6, 300
+ALPHA, FALSE_SHARE, SPREAD, PRIOR = 0.01, 0.003, 1.2, 300
 
 
 def _share(c: str) -> float:
