@@ -10,7 +10,7 @@ Literals are flat bytes (one unsafe array each), so a task reads them in with on
 points below 256, one for each byte.
 
 Known words are looked up, not folded: the vocabulary's own strings, which the tokenizer's library takes whole, and the
-WORDS most frequent words of a bounded sample of documents, each folded once. This only saves time: other words are
+WORDS most frequent words (of at most WORD_BYTES bytes) of a bounded sample of documents, each folded once. This only saves time: other words are
 folded where they stand.
 """
 
@@ -29,6 +29,8 @@ NONE = (1 << 31) - 1
 KEY, ADDRESS = 1 << 20, 7919
 #: Bounds of the frequent words and of the documents that they are counted in.
 WORDS, SAMPLE = 3 << 17, 20_000
+#: Bytes of a word that may be among the known ones, so the literal's size is bounded.
+WORD_BYTES = 64
 
 #: White space as the tokenizer's pattern language knows it.
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
@@ -139,7 +141,7 @@ class Tokenizer:
     def known(self, texts: DataFrame, ranks: Column) -> Column:
         """The literal map of known words, the frequent ones from a sample of about SAMPLE rows."""
         n = max(1, texts.count())
-        words = (texts if n <= SAMPLE else texts.sample(SAMPLE / n, seed=4)).select(F.explode(words_of(F.col("text"), self.pattern)).alias("key"))
+        words = (texts if n <= SAMPLE else texts.sample(SAMPLE / n, seed=4)).select(F.explode(words_of(F.col("text"), self.pattern)).alias("key")).where(F.octet_length("key") <= WORD_BYTES)
         own = self.vocabulary()
         counts = words.groupBy("key").count().join(own.select("key"), "key", "left_anti")
         top = counts.orderBy(F.desc("count"), "key").limit(WORDS).select("key").repartition(16)
