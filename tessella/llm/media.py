@@ -183,6 +183,8 @@ def shots(samples: np.ndarray, *, reach: int = 8, k: float = 3.0, floor: float =
 def read_avi(media: bytes) -> tuple[bytes, np.ndarray, float]:
     """The payload, the frames' samples and frames a second."""
     places, fps, length = parse_avi(media)
+    if not places:
+        raise ValueError("no frames")
     samples = np.stack([decode_frame(media[a : a + s]) for a, s in places])
     payload = samples.tobytes()
     return payload if length is None else payload[:length], samples, fps
@@ -218,11 +220,21 @@ def clip_rows(samples: np.ndarray, fps: float) -> list[tuple]:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Reads the files of to_media() back: digests of payload and file, a feature string and the clips."""
+    """Reads the files of to_media() back: digests of payload and file, a feature string and the clips.
+
+    A file that is null, cut, empty or of another make has null payload columns, the reason as feature ("error=...") and no clips; null
+    files have null media columns as well. Repeated rows give a row each; an empty table gives none; other columns are not read.
+    """
 
     def run(rows):
         for doc_id, n_bytes, file in rows:
-            payload, samples, fps = read_avi(file)
+            try:
+                if file is None:
+                    raise ValueError("no file")
+                payload, samples, fps = read_avi(file)
+            except (ValueError, struct.error, IndexError) as e:
+                yield doc_id, n_bytes, None, None, None, None if file is None else len(file), None if file is None else hashlib.sha256(file).hexdigest(), f"error={e}", []
+                continue
             clips = clip_rows(samples, fps)
             feature = f"frames={len(samples)};shots={len(clips)};clips=" + ",".join(f"{a:.2f}-{b:.2f}:{m:.3f}" for _, a, b, _, m in clips)
             yield doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, [dict(zip(CLIPS.names[1:], c, strict=True)) for c in clips]
