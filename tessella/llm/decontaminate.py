@@ -5,22 +5,24 @@ every run of words of every item once. Training words stream through it; at each
 automaton knows the longest run ending there that also stands in some item. A run of at least
 `window` words marks its words; items of fewer words are one window of their own length.
 
-Items are dealt to shards of at most SHARD_WORDS words, so a broadcast automaton has a proven
-size (at most 2 * SHARD_WORDS states) however many items there are; words are hit if any shard
-hits them.
+Items are dealt to shards of at most SHARD_WORDS words, a shard is broadcast as its items, and each worker builds
+its automaton (at most 2 * SHARD_WORDS states) once. ROUND shards are scanned in one pass over the documents; a larger
+benchmark takes more passes, each written to the shared folder, so neither a worker's nor a broadcast's memory grows
+with it. Words are hit if any shard hits them.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import arrow_map, ids_and_text, ship, utf8
+from .common import arrow_map, ids_and_text, ship, utf8, worker_cache, written
 
-SHARD_WORDS = 200_000
+SHARD_WORDS, ROUND = 200_000, 4
 WINDOW = 10
 
 #: Bytes outside words become spaces, A-Z become a-z; bytes of non-ASCII characters are kept.
@@ -146,23 +148,68 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata_of(benchmark: DataFrame, window: int) -> list:
-    """Broadcasts one automaton per shard: items in order, at most SHARD_WORDS words or a single item each."""
+def shards_of(benchmark: DataFrame) -> list:
+    """Broadcasts the items of each shard, in order: at most SHARD_WORDS words or a single item."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), utf8("text").alias("text"))
     sent, held, size = [], [], 0
     # items stream through the driver; one shard is held at a time
     for key, text in items.orderBy("item_id", "text").toLocalIterator():
         words = words_of(bytes(text))
         if held and size + len(words) > SHARD_WORDS:
-            sent.append(ship(benchmark.sparkSession, Automaton(held, window)))
+            sent.append((uuid.uuid4().hex, ship(benchmark.sparkSession, held)))
             held, size = [], 0
         held.append((key, words))
         size += len(words)
     if held:
-        sent.append(ship(benchmark.sparkSession, Automaton(held, window)))
+        sent.append((uuid.uuid4().hex, ship(benchmark.sparkSession, held)))
     return sent
 
 
+def automata(shards: list, window: int) -> list[Automaton]:
+    """The shards' automata, built once in a worker's process, which keeps those of one round only."""
+    cache = worker_cache().setdefault("automata", {})
+    wanted = {(name, window): get for name, get in shards}
+    for key in [k for k in cache if k not in wanted]:
+        del cache[key]
+    for key, get in wanted.items():
+        if key not in cache:
+            cache[key] = Automaton(get(), window)
+    return [cache[key] for key in wanted]
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int, text: int, schema: StructType, finish) -> DataFrame:
+    """Rows finish(row, data, words, spans, items) of docs, with the hit spans of words and the ids of the items; finish gives None to drop a row.
+
+    text: the number of the column that is searched, a string or UTF-8; null is empty.
+    """
+    columns = docs.columns
+    sent = shards_of(benchmark)
+    rounds = [sent[k : k + ROUND] for k in range(0, len(sent), ROUND)] or [[]]
+    between = StructType([*docs.schema.fields, StructField("_spans", SPANS), StructField("_items", ArrayType(StringType()))])
+    now = docs.withColumns({"_spans": F.array().cast(SPANS), "_items": F.array().cast("array<string>")})
+    for n, shards in enumerate(rounds, 1):
+
+        def run(rows, shards=shards, last=n == len(rounds)):
+            own = automata(shards, window)
+            for row in rows:
+                data = row[text] or b""
+                data = data.encode() if isinstance(data, str) else data
+                words, spans, items = words_of(data), [tuple(s) for s in row[-2]], set(row[-1])
+                for a in own:
+                    new, met = a.hits(words)
+                    spans += new
+                    items |= met
+                spans = merged(spans)
+                out = finish(row[:-2], data, words, spans, sorted(items)) if last else (*row[:-2], spans, sorted(items))
+                if out is not None:
+                    yield out
+
+        now = arrow_map(now.select(*columns, "_spans", "_items"), run, schema if n == len(rounds) else between)
+        now = now if n == len(rounds) else written(now, "round")
+    return now
+
+
+SPANS = ArrayType(ArrayType(IntegerType()))
 MATCHES = StructType(
     [
         StructField("doc_id", LongType()),
@@ -195,52 +242,35 @@ def match_items(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     reported; a null item id is reported as empty string. Repeated documents give a row each; an empty
     benchmark hits nothing; other columns are not read.
     """
-    sent = automata_of(benchmark, window)
 
-    def run(rows):
-        automata = [get() for get in sent]
-        for doc_id, text in rows:
-            words, spans, found = words_of(text), [], set()
-            for a in automata:
-                s, f = a.hits(words)
-                spans += s
-                found |= f
-            spans = merged(spans) if len(automata) > 1 else spans
-            yield doc_id, len(words), sum(b - a for a, b in spans), sorted(found), spans, without(text, spans).decode("utf-8", "replace") if clean else None
+    def finish(row, data, words, spans, items):
+        return row[0], len(words), sum(b - a for a, b in spans), items, spans, without(data, spans).decode("utf-8", "replace") if clean else None
 
-    return arrow_map(ids_and_text(docs, id_col, text_col), run, MATCHES)
+    return scanned(ids_and_text(docs, id_col, text_col), benchmark, window, 1, MATCHES, finish)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
-    """docs (columns of documents) without benchmark spans; documents of which windows cover max_coverage or more of the words go."""
+    """docs (columns of documents) without benchmark spans; documents of which windows cover max_coverage or more of the words go.
+
+    Null texts, texts without words and rows without a hit stay as they are; repeated rows are treated alike; an empty
+    benchmark changes nothing; an empty table gives no rows; n_chars, where it is there, follows the text.
+    """
     columns = docs.columns
-    sent = automata_of(benchmark, window)
     at = columns.index("text")
     length = columns.index("n_chars") if "n_chars" in columns else None
 
-    def run(rows):
-        automata = [get() for get in sent]
-        for row in rows:
-            if row[at] is None:
-                yield row
-                continue
-            text = row[at].encode()
-            words, spans = words_of(text), []
-            for a in automata:
-                spans += a.hits(words)[0]
-            if not spans:
-                yield row
-                continue
-            spans = merged(spans)
-            if sum(b - a for a, b in spans) >= max_coverage * len(words):
-                continue
-            row = list(row)
-            row[at] = without(text, spans).decode()
-            if length is not None:
-                row[length] = len(row[at])
-            yield tuple(row)
-
-    return arrow_map(docs, run, docs.schema)
+    def finish(row, data, words, spans, items):
+        if not spans:
+            return row
+        if sum(b - a for a, b in spans) >= max_coverage * len(words):
+            return None
+        new = list(row)
+        new[at] = without(data, spans).decode()
+        if length is not None:
+            new[length] = len(new[at])
+        return tuple(new)
+
+    return scanned(docs, benchmark, window, at, docs.schema, finish)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -227,3 +227,23 @@ def test_a_long_text_full_of_spans_is_scanned_in_one_pass():
     began = time.time()
     base = secrets.base_spans(text)
     assert len(base) == 30_000 and not secrets.random_spans(text, base) and time.time() - began < 10
+
+
+def test_files_that_are_no_media_are_told_and_do_not_stop_the_rest(spark, docs):
+    whole = [r for r in media.to_media(docs).collect() if r.doc_id in (4, 10)]
+    rows = [(r.doc_id, r.n_bytes, bytes(r.media)) for r in whole] + [(90, 1, None), (91, 1, b""), (92, 1, b"RIFF and no more")] + [(93 + k, 1, bytes(whole[0].media)[:n]) for k, n in enumerate((11, 40, 300, len(whole[0].media) - 300))]
+    got = {r.doc_id: r for r in media.read_media(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert len(got) == len(rows) and all(got[i].payload_bytes for i in (4, 10))
+    assert all(got[k].payload_sha256 is None and got[k].feature.startswith("error=") and got[k].clips == [] for k in got if k >= 90)
+
+
+def test_a_benchmark_of_many_shards_takes_several_passes(spark, docs, monkeypatch):
+    from .conftest import invented
+
+    items = spark.createDataFrame([(str(k), invented(k, 14)) for k in range(12)] + [("short", "same text twice"), (None, None)], "item_id string, text string")
+    columns = ("doc_id", "n_words", "n_hit", "items")
+    flat = lambda df: Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in df.select(*columns).collect())
+    wanted, kept = flat(decontaminate.match_items(docs, items)), rows_of(decontaminate.decontaminate(docs, items), "doc_id", "text", "n_chars")
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 20)
+    monkeypatch.setattr(decontaminate, "ROUND", 2)
+    assert flat(decontaminate.match_items(docs, items)) == wanted and rows_of(decontaminate.decontaminate(docs, items), "doc_id", "text", "n_chars") == kept
