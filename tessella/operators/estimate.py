@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import trees
+from .range_join import box_pairs
 
 
 def overlap_counts(boxes: DataFrame, windows: DataFrame) -> DataFrame:
     """block_id, queries: windows whose interior meets the box's."""
     w = windows.select("lx", "ly", "hx", "hy")
-    hit = boxes.join(w, g.overlaps(g.box(), g.window())).groupBy("block_id").agg(F.count("*").alias("q"))
+    hit = box_pairs(w, boxes).where(g.overlaps(g.box(), g.window())).groupBy("block_id").agg(F.count("*").alias("q"))
     return boxes.select("block_id").join(hit, "block_id", "left").select("block_id", F.coalesce("q", F.lit(0)).cast("bigint").alias("queries"))
 
 
@@ -40,7 +41,7 @@ def forest(points: DataFrame, granularity: int = 16384, n_trees: int = 3, seed:
 def estimated(cells: DataFrame, windows: DataFrame, n_trees: int = 3) -> DataFrame:
     """qid, estimate: mean over the trees, leaves counting by the share of them that the window covers."""
     share = F.when(g.covers(g.window(), g.box()), 1.0).otherwise(F.coalesce(g.overlap_ratio(g.box(), g.window()), F.when(g.may_hold(g.box(), g.window()), 1.0).otherwise(0.0)))
-    hit = windows.join(cells, g.may_hold(g.box(), g.window())).groupBy("qid").agg((F.sum(F.col("cnt") * share) / n_trees).alias("e"))
+    hit = box_pairs(windows, cells).where(g.may_hold(g.box(), g.window())).groupBy("qid").agg((F.sum(F.col("cnt") * share) / n_trees).alias("e"))
     return windows.select("qid").join(hit, "qid", "left").select("qid", F.coalesce("e", F.lit(0.0)).alias("estimate"))
 
 

@@ -12,7 +12,7 @@ from ..functions import geometry as g
 from ..functions.curve import morton
 from ..sources.shared import written
 from . import trees
-from .range_join import point_weights
+from .range_join import box_pairs, point_weights
 from .ranks import global_rank, ntile_of
 
 BLOCK = 256
@@ -160,7 +160,8 @@ def flood(points: DataFrame, windows: DataFrame, block: int = BLOCK, tries: int
 def _sliced(points: DataFrame, block: int, slice_of) -> Layout:
     """Nodes are cut level by level, in alternating dimensions, until none holds more than `block` points.
 
-    slice_of(ranked, k): the child of a row from its rank in its node (r), the node's size (n) and the number of children (k).
+    slice_of(ranked, k): the child of a row from its rank in its node (r), the node's size (n) and the number of children (k); of
+    weighted points also from the node's weight (total), that before the node (ahead) and that up to the row (g_sum).
     Ranks come from global_rank over (node, dimension, pid), so that no node is ordered by one task; the table of
     open nodes is aggregated and joined, never collected.
     """
@@ -171,8 +172,10 @@ def _sliced(points: DataFrame, block: int, slice_of) -> Layout:
         if sizes.where(F.col("n") > block).isEmpty():
             return laid_out(state.withColumn("block_id", F.col("node")))
         dim = "xy"[level % 2]
-        ranked = global_rank(state, ["node", dim, "pid"], "g")
-        firsts = ranked.groupBy("node").agg(F.min("g").alias("f"), F.count("*").alias("n"))
+        weight = "weight" if "weight" in points.columns else None
+        ranked = global_rank(state, ["node", dim, "pid"], "g", weight)
+        totals = [F.sum("weight").alias("total"), F.min(F.col("g_sum") - F.col("weight")).alias("ahead")] if weight else []
+        firsts = ranked.groupBy("node").agg(F.min("g").alias("f"), F.count("*").alias("n"), *totals)
         ranked = ranked.join(firsts, "node").withColumn("r", F.col("g") - F.col("f"))
         k = F.when(F.col("n") <= block, 1).when(F.floor(F.col("n") / BRANCH) >= block, BRANCH).otherwise(F.floor(F.col("n") / block) + 1).cast("bigint")
         state = written(slice_of(ranked.withColumn("k", k)).select(*points.columns, (F.col("node") * BRANCH + F.col("child")).cast("bigint").alias("node")), "level")
@@ -188,13 +191,11 @@ def cur(points: DataFrame, windows: DataFrame, block: int = BLOCK) -> Layout:
     """Slices of equal weight, a point's weight being 0.5 and one for each training window that holds it; small nodes by count."""
 
     def slices(d: DataFrame) -> DataFrame:
-        before = F.sum("weight").over(Window.partitionBy("node").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-        total = F.sum("weight").over(Window.partitionBy("node"))
+        before, total = F.col("g_sum") - F.col("ahead"), F.col("total")
         heavy = F.least(F.ceil(before / (total / F.col("k"))) - 1, F.col("k") - 1).cast("bigint")
         return d.withColumn("child", F.when(F.col("n") <= BRANCH * block, ntile_of(F.col("r"), F.col("n"), F.col("k"))).otherwise(heavy))
 
-    layout = _sliced(point_weights(points, windows), block, slices)
-    return layout
+    return _sliced(point_weights(points, windows), block, slices)
 
 
 def rank_space(points: DataFrame) -> DataFrame:
@@ -221,8 +222,8 @@ def rsmi(points: DataFrame, block: int = BLOCK) -> Layout:
 
 
 def candidates(layout: Layout, windows: DataFrame) -> DataFrame:
-    """qid, block_id, n and the window's bounds: blocks that may hold points of a window."""
-    return windows.select("qid", "lx", "ly", "hx", "hy").join(layout.meta, g.may_hold(g.box(), g.window())).select("qid", "lx", "ly", "hx", "hy", "block_id", "n")
+    """qid, block_id, n and the window's bounds: blocks that may hold points of a window; windows upside down have none."""
+    return box_pairs(windows.select("qid", "lx", "ly", "hx", "hy"), layout.meta).where(g.may_hold(g.box(), g.window())).select("qid", "lx", "ly", "hx", "hy", "block_id", "n")
 
 
 def range_query(layout: Layout, windows: DataFrame) -> DataFrame:
@@ -250,15 +251,19 @@ def scan_metrics(layout: Layout, windows: DataFrame) -> DataFrame:
 def covered_points(layout: Layout, windows: DataFrame) -> DataFrame:
     """qid, covered: points in blocks that lie inside the window as a whole."""
     w = windows.select("qid", "lx", "ly", "hx", "hy")
-    hit = w.join(layout.meta, g.covers(g.window(), g.box())).groupBy("qid").agg(F.sum("n").alias("s"))
+    hit = box_pairs(w, layout.meta).where(g.covers(g.window(), g.box())).groupBy("qid").agg(F.sum("n").alias("s"))
     return w.select("qid").join(hit, "qid", "left").select("qid", F.coalesce("s", F.lit(0)).cast("bigint").alias("covered"))
 
 
 def size_quantiles(meta: DataFrame) -> DataFrame:
     """q10, q25, q50, q75, q90 (elements at floor(count * q)) and avg (floor of the mean) of the block sizes."""
-    sizes = meta.agg(F.sort_array(F.collect_list("n")).alias("s"), F.avg("n").alias("m"))
-    at = lambda q: F.get("s", F.least(F.floor(F.size("s") * F.lit(q)), F.size("s") - 1).cast("int"))
-    return sizes.select(*(at(q).alias(f"q{round(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)), F.floor("m").cast("bigint").alias("avg"))
+    # one row for each size that occurs, so there are at most as many as points in the largest block
+    counts = meta.groupBy("n").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    total = meta.agg(F.count("*").alias("size"), F.avg("n").alias("m"))
+    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("size") * F.lit(q)), F.col("size") - 1), F.col("n")))
+    both = upto.crossJoin(F.broadcast(total))
+    return both.agg(*(at(q).alias(f"q{round(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9)), F.floor(F.max("m")).cast("bigint").alias("avg"))
 
 
 def partition_check(layout: Layout, points: DataFrame, block: int) -> DataFrame:

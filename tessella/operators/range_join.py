@@ -85,36 +85,55 @@ def point_weights(points: DataFrame, windows: DataFrame, base: float = 0.5) -> D
     return points.select("pid", "x", "y").join(counts, "pid", "left").select("pid", "x", "y", (F.coalesce("count", F.lit(0)) + F.lit(base)).alias("weight"))
 
 
-def window_pairs(windows: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Windows with the boxes (block_id, x_lo ...) that may hold points of theirs; the box table is filed by level as windows are."""
-    box = boxes.select("block_id", *(F.col(c).alias(f"_{c}") for c in ("x_lo", "y_lo", "x_hi", "y_hi")), *(c for c in boxes.columns if c not in ("block_id", "x_lo", "y_lo", "x_hi", "y_hi")))
-    rect = g.Rect(*(F.col(f"_{c}") for c in ("x_lo", "y_lo", "x_hi", "y_hi")))
-    return windows.join(box, g.may_hold(rect, g.window())).select(*windows.columns, *boxes.columns[:1], *(F.col(f"_{c}").alias(c) for c in ("x_lo", "y_lo", "x_hi", "y_hi")), *(c for c in boxes.columns if c not in ("block_id", "x_lo", "y_lo", "x_hi", "y_hi")))
+def box_pairs(windows: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Windows (lx, ly, hx, hy) with the boxes (x_lo, y_lo, x_hi, y_hi) that they meet or touch, and all other columns of both.
+
+    Both are filed by the power of two of their size, and at the larger levels of the other table as well; a pair meets at the
+    larger of its two levels, in the cell of the low corner of what both share, so once. Windows and boxes upside down meet nothing.
+    """
+    own = lambda df, corners, at: _levelled(df.withColumns(dict(zip(("lx", "ly", "hx", "hy"), map(F.col, corners), strict=True))), True).withColumnRenamed("_level", at)
+    corners = ("x_lo", "y_lo", "x_hi", "y_hi")
+    w, b = own(windows, ("lx", "ly", "hx", "hy"), "_wl"), own(boxes, corners, "_bl").drop("lx", "ly", "hx", "hy")
+    levels = {c: sorted(r[0] for r in d.select(c).distinct().collect()) for c, d in (("_wl", w), ("_bl", b))}  # HIGHEST - LOWEST + 1 at most
+
+    def filed(df: DataFrame, at: str, other: list[int], names) -> DataFrame:
+        every = F.array_distinct(F.concat(F.array(F.col(at)), F.filter(F.array(*map(F.lit, other)).cast("array<int>"), lambda l: l > F.col(at))))
+        span = lambda lo, hi: F.sequence(_cell(F.col(lo), F.col("_level")), _cell(F.col(hi), F.col("_level")))
+        levelled = df.withColumn("_level", F.explode(every))
+        return levelled.withColumn("_cx", F.explode(span(names[0], names[2]))).withColumn("_cy", F.explode(span(names[1], names[3])))
+
+    met = filed(w, "_wl", levels["_bl"], ("lx", "ly", "hx", "hy")).join(filed(b, "_bl", levels["_wl"], corners), ["_level", "_cx", "_cy"])
+    first = (F.col("_cx") == _cell(F.greatest("lx", "x_lo"), F.col("_level"))) & (F.col("_cy") == _cell(F.greatest("ly", "y_lo"), F.col("_level")))
+    return met.where((F.col("_level") == F.greatest("_wl", "_bl")) & first).drop("_level", "_cx", "_cy", "_wl", "_bl")
 
 
 def knn_join(centers: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """cid, pid, d2, rank of the k nearest points of every centre (cid, cx, cy), ties by pid: exact.
 
     A round looks within a radius around the centres that are left; a centre is done when k points lie within the radius, for none
-    outside can be nearer. The radius starts at the size that holds about 2k points at the mean density and doubles.
+    outside can be nearer. The radius starts at the size that holds about 2k points in the cell of a middling point, far outliers aside, and doubles.
     """
     from pyspark.sql import Window
 
-    n, x0, x1, y0, y1 = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    span = lambda c: F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.95)), 1000)
+    n, xs, ys = points.agg(F.count("*"), span("x"), span("y")).first()
     spark = points.sparkSession
     if not n:
         return spark.createDataFrame([], "cid bigint, pid bigint, d2 double, rank int")
-    wide, high = max(x1 - x0, 1e-12), max(y1 - y0, 1e-12)
-    radius = max((2 * k / n * wide * high / 3.14) ** 0.5, 1e-12)
+    wide, high = max(xs[1] - xs[0], 1e-12), max(ys[1] - ys[0], 1e-12)
+    side = max((2 * k / n * wide * high) ** 0.5, 1e-12)
+    # a cell of the size that holds 2k points at the density of the middle of the data; crowded data start with less
+    cells = points.groupBy(F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")).agg(F.count("*").alias("c"))
+    crowd = cells.agg(F.expr("percentile(c, 0.5, c)")).first()[0]
+    radius = max(side * min(1.0, (2 * k / (3.14 * max(crowd, 1.0))) ** 0.5), 1e-12)
     left, done = centers.select("cid", "cx", "cy"), None
     nearest = Window.partitionBy("cid").orderBy("d2", "pid")
     d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-    reach = max(abs(v) for v in (x0, x1, y0, y1))
     while True:
-        # n < k or a radius past everything: take what there is
-        last = n <= k or radius > 4 * (wide + high + reach)
+        # no more than k points: all of them are near; else a radius past everything holds k
+        last = n <= k
         around = left.select(F.col("cid").alias("qid"), "cid", "cx", "cy", (F.col("cx") - radius).alias("lx"), (F.col("cy") - radius).alias("ly"), (F.col("cx") + radius).alias("hx"), (F.col("cy") + radius).alias("hy"))
-        pairs = (points.crossJoin(F.broadcast(left)) if last else range_pairs(points.select("pid", "x", "y"), around, closed=True)).withColumn("d2", d2)
+        pairs = (left.crossJoin(F.broadcast(points.select("pid", "x", "y"))) if last else range_pairs(points.select("pid", "x", "y"), around, closed=True)).withColumn("d2", d2)
         inside = pairs if last else pairs.where(F.col("d2") <= radius * radius)
         ranked = inside.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("cid", "pid", "d2", "rank")
         full = ranked if last else ranked.join(ranked.where(F.col("rank") == k).select("cid"), "cid", "left_semi")

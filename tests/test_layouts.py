@@ -53,3 +53,34 @@ def test_joins(spark, name, points):
     for cid, cx, cy in ((0, 0.5, 0.5), (1, -3.0, 70.0)):
         wanted = sorted(((x - cx) * (x - cx) + (y - cy) * (y - cy), i) for i, (x, y) in enumerate(points))[:3]
         assert sorted(near.get(cid, [])) == wanted
+
+
+def test_plans_have_no_nested_loops(spark):
+    from tessella.operators import estimate
+
+    p = spark.createDataFrame([(i, (i * 37 % 101) / 101, (i * 53 % 97) / 97) for i in range(2000)], "pid long, x double, y double")
+    w = spark.createDataFrame([(i, i / 10, i / 12, i / 10 + 0.1, i / 12 + 0.2) for i in range(8)], "qid long, lx double, ly double, hx double, hy double")
+    layout = layouts.str_tree(p, BLOCK)
+    for df in (range_join.range_count_all(p, w), layouts.range_query(layout, w), layouts.scan_metrics(layout, w), layouts.covered_points(layout, w), estimate.overlap_counts(layout.meta, w), estimate.estimated(estimate.forest(p, 300), w)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_boxes_of_all_sizes_meet_once(spark):
+    r = random.Random(4)
+
+    def rects(n):
+        out = []
+        for i in range(n):
+            x, y, s = r.uniform(-5, 5), r.uniform(-5, 5), 10 ** r.uniform(-6, 1.5)
+            out.append((i, x, y, x + s * r.choice([0, 0.3, 1]), y + s * r.choice([0, 0.7, 1])))
+        return out
+
+    a, b = rects(60), rects(90)
+    w = spark.createDataFrame(a, "qid long, lx double, ly double, hx double, hy double")
+    boxes = spark.createDataFrame(b, "block_id long, x_lo double, y_lo double, x_hi double, y_hi double")
+    wanted = sorted((p[0], q[0]) for p in a for q in b if max(p[1], q[1]) <= min(p[3], q[3]) and max(p[2], q[2]) <= min(p[4], q[4]))
+    got = range_join.box_pairs(w, boxes)
+    touching = got.where("greatest(lx, x_lo) <= least(hx, x_hi) and greatest(ly, y_lo) <= least(hy, y_hi)")
+    assert sorted((x.qid, x.block_id) for x in touching.collect()) == wanted
+    assert range_join.box_pairs(w.limit(0), boxes).count() == 0 and range_join.box_pairs(w, boxes.limit(0)).count() == 0
