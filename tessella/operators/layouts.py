@@ -248,6 +248,11 @@ def scan_metrics(layout: Layout, windows: DataFrame) -> DataFrame:
     return windows.select("qid").join(hit, "qid", "left").select("qid", F.coalesce("b", F.lit(0)).cast("bigint").alias("refined_blocks"), F.coalesce("s", F.lit(0)).cast("bigint").alias("points_scanned"))
 
 
+def workload_averages(scanned: DataFrame) -> DataFrame:
+    """blocks, scanned: totals over the windows of scan_metrics(), and their means."""
+    return scanned.agg(F.sum("refined_blocks").alias("blocks"), F.sum("points_scanned").alias("scanned"), F.avg("refined_blocks").alias("avg_blocks"), F.avg("points_scanned").alias("avg_scanned"))
+
+
 def covered_points(layout: Layout, windows: DataFrame) -> DataFrame:
     """qid, covered: points in blocks that lie inside the window as a whole."""
     w = windows.select("qid", "lx", "ly", "hx", "hy")

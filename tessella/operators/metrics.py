@@ -176,3 +176,78 @@ def scientific(c: Column) -> Column:
     """The absolute value as mantissa and exponent of ten."""
     text = F.format_string("%.1e", F.abs(c))
     return F.concat(F.regexp_extract(text, r"^([^e]+)", 1), F.lit("e"), F.regexp_extract(text, r"e(.+)$", 1).cast("int").cast("string"))
+
+
+def by_type(rows: DataFrame) -> DataFrame:
+    """Two rows for each: type memory or disk, with the latency of that type."""
+    kinds = F.array(*(F.struct(F.lit(kind).alias("type"), F.col(column).alias("latency")) for kind, column in LATENCY.items()))
+    return rows.select("*", F.inline(kinds))
+
+
+def block_stats(rows: DataFrame, n_points: int) -> DataFrame:
+    """Shares of the points and blocks (number_of_refined_blocks, avg_block_size) in percent, and latencies per point and per block."""
+    blocks = F.col("number_of_refined_blocks").cast("double")
+    return rows.withColumns(
+        {
+            "percent_false_positives": F.col("false_positives") * F.lit(100.0) / F.lit(float(n_points)),
+            "percent_num_blocks": ratio(blocks * F.lit(100.0), F.lit(float(n_points)) / F.col("avg_block_size")),
+            "scan_latency_per_point": ratio(F.col("scan_latency"), F.col("result_size").cast("double")),
+            "refinement_latency_per_block": ratio(F.col("refinement_latency"), blocks),
+        }
+    )
+
+
+def redemption_report(rows: DataFrame, base: str, keys: list[str], order: list[str]) -> DataFrame:
+    """model, build_time, memory, disk: after how many queries a model's build time is paid back against the base model, as labels.
+
+    Each scenario (keys) counts once; models outside `order` go. A label is (+) for a model that builds and answers sooner, (-) for one
+    that does neither, and else has the number of queries behind the sign of answering sooner. Majorities are means of yes and
+    no, rounded to even at one and then no digit.
+    """
+    each = rows.groupBy("model", *keys).agg(*(F.avg(c).alias(c) for c in ("build_time", *LATENCY.values())))
+    of_base = each.where(F.col("model") == base).select(*keys, *(F.col(c).alias(f"base_{c}") for c in ("build_time", *LATENCY.values())))
+    joined = each.where(F.col("model") != base).join(of_base, keys)
+    dearer = F.col("build_time") - F.col("base_build_time")
+    gain = {kind: F.col(f"base_{c}") - F.col(c) for kind, c in LATENCY.items()}
+    of = [x for kind, g in gain.items() for x in (F.avg((g > 0).cast("int")).alias(f"{kind}_sooner"), F.avg(F.lit(1e9) * ratio(dearer, g)).alias(f"{kind}_queries"))]
+    means = joined.groupBy("model").agg(F.avg("build_time").alias("build_time"), F.avg((dearer < 0).cast("int")).alias("built_sooner"), *of)
+    told = means.withColumn("place", F.array_position(F.array(*map(F.lit, order)), F.col("model"))).na.drop(subset=["model"]).where("place > 0")
+    most = lambda c: F.bround(F.bround(c, 1), 0) > 0.5
+
+    def label(kind: str) -> Column:
+        built, sooner, queries = most("built_sooner"), most(f"{kind}_sooner"), scientific(F.bround(f"{kind}_queries", 1))
+        return F.when(built & sooner, "(+)").when(built, F.concat(F.lit("(-)"), queries)).when(sooner, F.concat(F.lit("(+)"), queries)).otherwise("(-)")
+
+    return told.select("model", "place", F.bround("build_time", 1).alias("build_time"), *(label(kind).alias(kind) for kind in LATENCY))
+
+
+def entropy_ranges(training: DataFrame, asked: DataFrame) -> DataFrame:
+    """dataset_entropy_id, low, high, n of the training rows, asked rows by id, and how many asked rows lie below or above all training rows."""
+    ranges = training.groupBy("dataset_entropy_id").agg(F.min("dataset_entropy").alias("low"), F.max("dataset_entropy").alias("high"), F.count("*").alias("n"))
+    bounds = training.agg(F.min("dataset_entropy").alias("_low"), F.max("dataset_entropy").alias("_high"))
+    outside = asked.crossJoin(F.broadcast(bounds)).agg(F.count_if(F.col("dataset_entropy") < F.col("_low")).alias("below"), F.count_if(F.col("dataset_entropy") > F.col("_high")).alias("above"))
+    counts = asked.groupBy("dataset_entropy_id").agg(F.count("*").alias("asked"))
+    return ranges.join(counts, "dataset_entropy_id", "full").withColumn("asked", F.coalesce("asked", F.lit(0)).cast("bigint")).crossJoin(F.broadcast(outside))
+
+
+def top_k_accuracy(scored: DataFrame, k: int) -> DataFrame:
+    """accuracy: the share of cases (case, label, score, actual) of which the actual label is among the k of the highest scores, ties by label."""
+    place = F.row_number().over(Window.partitionBy("case").orderBy(F.desc("score"), "label"))
+    hit = scored.withColumn("place", place).groupBy("case").agg(F.max((F.col("actual") & (F.col("place") <= k)).cast("int")).alias("hit"))
+    return hit.agg(F.avg("hit").alias("accuracy"), F.count("*").alias("cases"))
+
+
+def weighted_mean(rows: DataFrame, value: str, weight: str) -> DataFrame:
+    return rows.agg(ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight).cast("double")).alias("mean"))
+
+
+def dense_place(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """place: dense rank from 0 within the keys."""
+    return rows.withColumn("place", F.dense_rank().over(Window.partitionBy(*keys).orderBy(column)) - 1)
+
+
+def allowed_values(conditions: DataFrame, values: list[int]) -> DataFrame:
+    """rule, allowed: the values that all conditions (rule, low, high: low < value <= high, null is open) of a rule leave, in order."""
+    every = F.array(*map(F.lit, sorted(values)))
+    left = conditions.select("rule", F.filter(every, lambda v: F.coalesce(v > F.col("low"), F.lit(True)) & F.coalesce(v <= F.col("high"), F.lit(True))).alias("left"))
+    return left.groupBy("rule").agg(F.collect_set("left").alias("sets")).select("rule", F.array_sort(F.aggregate("sets", every, F.array_intersect)).alias("allowed"))

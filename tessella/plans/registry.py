@@ -765,6 +765,110 @@ def task_matrix(spark, sf):
     return sources.task_matrix(spark, [1, 2], [1, 2, 3], [128, 512], ["01024", "04096"], [1, 2])
 
 
+@query(
+    """with t as (select model, sel_tag, 'memory' as type, query_latency as latency from metrics_v union all select model, sel_tag, 'disk', disk_backed_query_latency from metrics_v)
+    select model, sel_tag, type, round(avg(latency) / 1e6, 9) as latency from t group by all"""
+)
+def metrics_mean_ms_by_type(spark, sf):
+    return _rounded(metrics.means(metrics.by_type(fx.metrics_v(spark, sf)), ["model", "sel_tag", "type"], ["latency"], 1e-6), 9)
+
+
+@query("select sel_tag, model, round(avg(disk_backed_query_latency), 6) as latency from metrics_v group by all")
+def metrics_mean_by_selectivity(spark, sf):
+    return _rounded(metrics.means(metrics.by_type(fx.metrics_v(spark, sf)).where("type = 'disk'"), ["sel_tag", "model"], ["latency"]))
+
+
+BLOCKS = "cast(ceil(number_of_points_scanned / (block_size * 1e0)) as bigint)"
+
+
+@query(
+    f"""with b as (select *, {BLOCKS} as blocks, number_of_points_scanned - result_size / 5e3 as fp from metrics_v)
+    select event_id, fp * 1e2 / 8e6 as percent_false_positives, blocks * 1e2 / (8e6 / block_size) as percent_num_blocks,
+    (query_latency - refinement_latency) / result_size as scan_latency_per_point, refinement_latency / nullif(blocks, 0) as refinement_latency_per_block from b"""
+)
+def metrics_block_stats(spark, sf):
+    rows = fx.metrics_v(spark, sf).withColumns({"number_of_refined_blocks": F.expr(BLOCKS), "avg_block_size": F.col("block_size"), "scan_latency": F.col("query_latency") - F.col("refinement_latency")})
+    found = metrics.block_stats(metrics.access_stats(rows, 8_000_000), 8_000_000)
+    return found.select("event_id", "percent_false_positives", "percent_num_blocks", "scan_latency_per_point", "refinement_latency_per_block")
+
+
+ORDERED = ["view", "purchase", "signup", "error", "login", "logout", "search"]
+
+
+@query(
+    f"""with s as (select model, {SC}, avg(build_time) as build, avg(query_latency) as m, avg(disk_backed_query_latency) as d from metrics_v group by all),
+    j as (select a.model, a.build, a.build - b.build as dearer, b.m - a.m as gm, b.d - a.d as gd from s a join s b using ({SC}) where b.model = 'click' and a.model <> 'click'),
+    g as (select model, round_even(avg(build), 1) as build_time, round_even(round_even(avg((dearer < 0)::int), 1), 0) > 0.5 as built, round_even(round_even(avg((gm > 0)::int), 1), 0) > 0.5 as sm, round_even(round_even(avg((gd > 0)::int), 1), 0) > 0.5 as sd,
+    format('{{:.1e}}', abs(round_even(avg(1e9 * dearer / nullif(gm, 0e0)), 1))) as qm, format('{{:.1e}}', abs(round_even(avg(1e9 * dearer / nullif(gd, 0e0)), 1))) as qd from j group by model),
+    t as (select *, split_part(qm, 'e', 1) || 'e' || cast(cast(split_part(qm, 'e', 2) as int) as varchar) as lm, split_part(qd, 'e', 1) || 'e' || cast(cast(split_part(qd, 'e', 2) as int) as varchar) as ld from g)
+    select model, cast(list_position({ORDERED}, model) as bigint) as place, build_time, case when built and sm then '(+)' when built then '(-)' || lm when sm then '(+)' || lm else '(-)' end as memory,
+    case when built and sd then '(+)' when built then '(-)' || ld when sd then '(+)' || ld else '(-)' end as disk from t where list_position({ORDERED}, model) > 0"""
+)
+def metrics_redemption_report(spark, sf):
+    return metrics.redemption_report(fx.metrics_v(spark, sf), "click", metrics.SCENARIO, ORDERED)
+
+
+@query(
+    """with t as (select dataset_entropy_id, dataset_entropy_id * 2e0 + (event_id % 10) * 0.05e0 as e from metrics_v where data_sample_num = 1), a as (select dataset_entropy_id, event_id % 13 * 1e0 as e from metrics_v where data_sample_num > 1),
+    r as (select dataset_entropy_id, min(e) as low, max(e) as high, count(*) as n from t group by 1), c as (select dataset_entropy_id, count(*) as asked from a group by 1), b as (select min(e) as l, max(e) as h from t)
+    select dataset_entropy_id, low, high, n, coalesce(asked, 0) as asked, (select count(*) from a, b where e < l) as below, (select count(*) from a, b where e > h) as above from r full join c using (dataset_entropy_id)"""
+)
+def metrics_entropy_ranges(spark, sf):
+    rows = fx.metrics_v(spark, sf)
+    training = rows.where("data_sample_num = 1").select("dataset_entropy_id", (F.col("dataset_entropy_id") * 2.0 + (F.col("event_id") % 10) * 0.05).alias("dataset_entropy"))
+    asked = rows.where("data_sample_num > 1").select("dataset_entropy_id", (F.col("event_id") % 13 * 1.0).alias("dataset_entropy"))
+    return metrics.entropy_ranges(training, asked)
+
+
+MODELS = f"m as (select {SC}, model, min(query_latency) as q, min(disk_backed_query_latency) as d from metrics_v group by all), p as (select *, row_number() over (partition by {SC} order by q, model) as place, row_number() over (partition by {SC} order by d, model) = 1 as actual from m)"
+
+
+@query(f"with {MODELS}, h as (select {SC}, max((actual and place <= 2)::int) as hit from p group by all) select round(avg(hit), 9) as accuracy, count(*) as cases from h")
+def metrics_top_k_accuracy(spark, sf):
+    models = fx.metrics_v(spark, sf).groupBy(*metrics.SCENARIO, "model").agg(F.min("query_latency").alias("q"), F.min("disk_backed_query_latency").alias("d"))
+    best = F.row_number().over(Window.partitionBy(*metrics.SCENARIO).orderBy("d", "model")) == 1
+    return _rounded(metrics.top_k_accuracy(models.select(F.struct(*metrics.SCENARIO).alias("case"), F.col("model").alias("label"), (-F.col("q")).alias("score"), best.alias("actual")), 2), 9)
+
+
+@query(f"with {RANKED}, l as (select query_entropy_id, avg((rank = 1)::int) as accuracy, count(*) as n from r where rank <= 3 group by 1) select round(sum(accuracy * n) / sum(n), 9) as mean from l")
+def metrics_weighted_accuracy(spark, sf):
+    rows = metrics.ranked(fx.metrics_v(spark, sf), "query_latency").where("rank <= 3")
+    leaves = rows.groupBy("query_entropy_id").agg(F.avg((F.col("rank") == 1).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+    return _rounded(metrics.weighted_mean(leaves, "accuracy", "n"), 9)
+
+
+@query("select event_id, model, cast(dense_rank() over (partition by model order by build_time) - 1 as int) as place from metrics_v")
+def metrics_dense_place(spark, sf):
+    return metrics.dense_place(fx.metrics_v(spark, sf), "build_time", ["model"]).select("event_id", "model", "place")
+
+
+@query("with n as (select event_id, nullif(block_size, 64) as block_size, nullif(sel_tag, 256) as sel_tag from metrics_v) select count(*) filter (block_size is not null) as by_block, count(*) filter (block_size is not null and sel_tag is not null) as by_all from n")
+def metrics_null_drop(spark, sf):
+    rows = fx.metrics_v(spark, sf).select("event_id", F.nullif("block_size", F.lit(64)).alias("block_size"), F.nullif("sel_tag", F.lit(256)).alias("sel_tag"))
+    return rows.na.drop(subset=["block_size"]).agg(F.count("*").alias("by_block")).crossJoin(rows.na.drop().agg(F.count("*").alias("by_all")))
+
+
+@query(
+    """with c as (select model as rule, min(block_size) as low, cast(null as int) as high from metrics_v where data_sample_num = 1 group by 1 union all select model, null, max(block_size) from metrics_v where data_sample_num = 2 and block_size < 4096 group by 1),
+    s as (select rule, list_filter([32, 64, 128, 256, 512, 1024, 2048, 4096], lambda v: (low is null or v > low) and (high is null or v <= high)) as l from c),
+    f as (select rule, unnest(l) as v from s), k as (select rule, v from f group by all having count(*) = 2) select rule, string_agg(v, ',' order by v) as allowed from k group by rule"""
+)
+def metrics_allowed_values(spark, sf):
+    rows = fx.metrics_v(spark, sf)
+    low = rows.where("data_sample_num = 1").groupBy(F.col("model").alias("rule")).agg(F.min("block_size").alias("low"), F.lit(None).cast("int").alias("high"))
+    high = rows.where("data_sample_num = 2 and block_size < 4096").groupBy(F.col("model").alias("rule")).agg(F.lit(None).cast("int").alias("low"), F.max("block_size").alias("high"))
+    return metrics.allowed_values(low.unionByName(high), [32, 64, 128, 256, 512, 1024, 2048, 4096]).select("rule", F.array_join(F.col("allowed").cast("array<string>"), ",").alias("allowed"))
+
+
+@query(
+    f"""with {STR}, per_window as (select w.qid, count(b.block_id) as blocks, coalesce(sum(b.n), 0) as scanned from win_orders w left join meta b on b.x_lo < w.hx and b.x_hi >= w.lx and b.y_lo < w.hy and b.y_hi >= w.ly group by w.qid)
+    select cast(sum(blocks) as bigint) as blocks, cast(sum(scanned) as bigint) as scanned, avg(blocks) as avg_blocks, avg(scanned) as avg_scanned from per_window"""
+)
+def workload_averages(spark, sf):
+    p, w = both(spark, sf)
+    return layouts.workload_averages(layouts.scan_metrics(layouts.str_tree(p, BLOCK), w))
+
+
 # --- recommendation
 
 ENTROPY = "k as (select dataset_entropy_id, dataset_entropy_id * 2e0 + (event_id % 10) * 0.05e0 as dataset_entropy from metrics_v)"
