@@ -6,11 +6,15 @@ The DC table gives category s a code of 9 - s bits (s = 0..8, Kraft sum 511/512)
 extra bits together take 9 bits for each of the 511 differences, and the AC table's only code
 (end of block) takes 1. A block is thus 10 bits wide and coding is one table lookup per byte,
 in numpy for a whole payload. The images are ordinary baseline JPEG.
+
+The reader decodes frames of that make by the same table and all other baseline frames (any Huffman and quantiser
+tables in the frame, AC coefficients, colour, subsampling, restart intervals, several scans) by decode_image().
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -69,38 +73,188 @@ def encode_frames(payload: bytes) -> tuple[list[bytes], int]:
     return [head + data[at : at + step].replace(b"\xff", b"\xff\0") + b"\xff\xd9" for at in range(0, len(data), step)], rows
 
 
-def decode_frame(image: bytes) -> np.ndarray:
-    """Grey levels of a frame's blocks, in raster order. Raises ValueError for images of any other make."""
+#: The head of the writer's images, and where the size stands in it.
+OWN = jpeg_head(0)
+SIZE_AT = OWN.index(b"\xff\xc0") + 5
+
+
+def decode_own(image: bytes) -> np.ndarray | None:
+    """Grey levels of the blocks of an image of encode_frames(), in raster order; None for any other image."""
+    if image[:SIZE_AT] != OWN[:SIZE_AT] or image[SIZE_AT + 4 : len(OWN)] != OWN[SIZE_AT + 4 :] or image[-2:] != b"\xff\xd9":
+        return None
+    high, wide = struct.unpack_from(">HH", image, SIZE_AT)
+    n = high // 8 * (wide // 8)
+    data = np.frombuffer(image[len(OWN) : -2].replace(b"\xff\0", b"\xff"), np.uint8)
+    if n % 4 or len(data) != n * 10 // 8:
+        return None
+    five = data.reshape(-1, 5).astype(np.uint64)
+    packed = (five[:, 0] << np.uint64(32)) | (five[:, 1] << np.uint64(24)) | (five[:, 2] << np.uint64(16)) | (five[:, 3] << np.uint64(8)) | five[:, 4]
+    words = np.stack([packed >> np.uint64(s) & np.uint64(1023) for s in (30, 20, 10, 0)], axis=1).ravel()
+    return (np.cumsum(DECODE[words], dtype=np.int32) + 128).astype(np.uint8)
+
+
+#: Places of the 64 coefficients in the order of the stream: diagonals, in turns downwards and upwards.
+ZIGZAG = np.array([8 * r + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))])
+#: Rows are frequencies, columns are places: the orthonormal cosine basis.
+BASIS = np.array([[(0.5 if u else 0.125**0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+class _Bits:
+    """Bits of one restart interval."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.n = data.replace(b"\xff\0", b"\xff"), 0, 0, 0
+
+    def fill(self, n: int) -> None:
+        while self.n < n:
+            # ones follow the data, and take() finds out whether they are used
+            self.held = self.held << 8 | (self.data[self.at] if self.at < len(self.data) else 0xFF)
+            self.at, self.n = self.at + 1, self.n + 8
+
+    def take(self, n: int) -> int:
+        self.fill(n)
+        self.n -= n
+        value, self.held = self.held >> self.n, self.held & (1 << self.n) - 1
+        if self.at - self.n // 8 > len(self.data):
+            raise ValueError("entropy-coded data ends early")
+        return value
+
+    def symbol(self, table: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for length in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (length, code) in table:
+                return table[length, code]
+        raise ValueError("no such Huffman code")
+
+    def signed(self, size: int) -> int:
+        if size > 15:
+            raise ValueError("a value of more than 15 bits")
+        value = self.take(size) if size else 0
+        return value if not size or value >> size - 1 else value - (1 << size) + 1
+
+
+def _huffman(body: bytes):
+    """(class and number, {(length, code): symbol}) of each table of a segment."""
+    at = 0
+    while at + 17 <= len(body):
+        codes, code, place = {}, 0, at + 17
+        for length, count in enumerate(body[at + 1 : at + 17], 1):
+            for _ in range(count):
+                codes[length, code] = body[place]
+                code, place = code + 1, place + 1
+            code <<= 1
+        yield body[at], codes
+        at = place
+
+
+def _scan(bits: _Bits, parts: list[tuple], across: int, first: int, last: int) -> None:
+    """Reads the units first ... last - 1 of a scan; parts: (coefficients by row and column of blocks, high, wide, DC table, AC table)."""
+    before = [0] * len(parts)
+    for unit in range(first, last):
+        row, column = divmod(unit, across)
+        for k, (blocks, high, wide, dc, ac) in enumerate(parts):
+            for place in range(high * wide):
+                block = blocks[row * high + place // wide, column * wide + place % wide]
+                before[k] += bits.signed(bits.symbol(dc))
+                block[0], at = before[k], 1
+                while at < 64:
+                    run, size = divmod(bits.symbol(ac), 16)
+                    if not size and run < 15:
+                        break
+                    at += run
+                    if at > 63:
+                        raise ValueError("a block has more than 64 coefficients")
+                    block[at] = bits.signed(size)
+                    at += 1
+
+
+def decode_image(image: bytes) -> list[np.ndarray]:
+    """The planes (uint8, rows by columns, at their own resolution) of a baseline JPEG image; the first is the luminance.
+
+    Raises ValueError for images that are cut, damaged or not baseline, or that leave their Huffman tables out.
+    """
     if image[:2] != b"\xff\xd8":
         raise ValueError("no JPEG image")
-    at, size, quantiser, tables = 2, None, None, {}
+    at, every, quantisers, tables, parts, size = 2, 0, {}, {}, {}, None
     while True:
+        while image[at : at + 2] == b"\xff\xff":
+            at += 1
+        if image[at : at + 2] == b"\xff\xd9":
+            break
         if at + 4 > len(image) or image[at] != 0xFF:
             raise ValueError("a marker is missing")
         marker, length = image[at + 1], struct.unpack_from(">H", image, at + 2)[0]
-        body = image[at + 4 : at + 2 + length]
-        at += 2 + length
-        if marker == 0xC0:
-            high, wide = struct.unpack_from(">HH", body, 1)
-            size = high // 8, wide // 8
+        body, at = image[at + 4 : at + 2 + length], at + 2 + length
+        if marker in (0xC0, 0xC1):
+            depth, tall, broad, count = struct.unpack_from(">BHHB", body)
+            kinds = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(count)]
+            if depth != 8 or not tall or not broad or not count or any(not 1 <= f <= 4 for _, w, h, _ in kinds for f in (w, h)):
+                raise ValueError("not an image of 8-bit samples")
+            most_wide, most_high = max(w for _, w, _, _ in kinds), max(h for _, _, h, _ in kinds)
+            size = -(-tall // (8 * most_high)), -(-broad // (8 * most_wide))
+            if size[0] * size[1] > 64 * len(image):  # a block takes two bits at least
+                raise ValueError("entropy-coded data ends early")
+            for name, w, h, q in kinds:
+                parts[name] = np.zeros((size[0] * h, size[1] * w, 64), np.int64), h, w, -(-tall * h // most_high), -(-broad * w // most_wide), q
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("not a baseline image")
         elif marker == 0xDB:
-            quantiser = body[1]
+            place = 0
+            while place < len(body):
+                wide, name = divmod(body[place], 16)
+                quantisers[name] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, place + 1).astype(np.int32)
+                place += 129 if wide else 65
         elif marker == 0xC4:
-            tables[body[0]] = body[1:]
+            tables.update(_huffman(body))
+        elif marker == 0xDD:
+            every = struct.unpack_from(">H", body)[0]
         elif marker == 0xDA:
-            break
-    own = jpeg_head(1)
-    if size is None or quantiser != 8 or any(t not in own for t in tables.values()) or sorted(tables) != [0, 16]:
-        raise ValueError("not a flat-block image")
-    end = image.rindex(b"\xff\xd9")
-    data = np.frombuffer(image[at:end].replace(b"\xff\0", b"\xff"), np.uint8)
-    n = size[0] * size[1]
-    if len(data) != n * 10 // 8:
-        raise ValueError("entropy-coded data has another length")
-    five = data.reshape(-1, 5).astype(np.uint64)
-    packed = (five[:, 0] << np.uint64(32)) | (five[:, 1] << np.uint64(24)) | (five[:, 2] << np.uint64(16)) | (five[:, 3] << np.uint64(8)) | five[:, 4]
-    words = np.stack([packed >> np.uint64(s) & np.uint64(1023) for s in (30, 20, 10, 0)], axis=1).ravel()
-    return (np.cumsum(DECODE[words], dtype=np.int32) + 128).astype(np.uint8)
+            names = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
+            if size is None or any(n not in parts or t >> 4 not in tables or 16 + (t & 15) not in tables for n, t in names):
+                raise ValueError("a scan without a frame or a Huffman table")
+            chosen = [(*parts[n][:3], tables[t >> 4], tables[16 + (t & 15)]) for n, t in names]
+            down, across = size
+            if len(names) == 1:  # alone, a component's units are its blocks
+                _, _, _, tall_n, broad_n, _ = parts[names[0][0]]
+                down, across, chosen = -(-tall_n // 8), -(-broad_n // 8), [(chosen[0][0], 1, 1, *chosen[0][3:])]
+            stop = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]").search(image, at)
+            end = stop.start() if stop else len(image)
+            units, step = down * across, every or down * across
+            intervals = re.split(rb"\xff[\xd0-\xd7]", image[at:end])
+            if len(intervals) < -(-units // step):
+                raise ValueError("entropy-coded data ends early")
+            for k in range(0, units, step):
+                _scan(_Bits(intervals[k // step]), chosen, across, k, min(units, k + step))
+            at = end
+            if not stop:
+                break
+    if size is None:
+        raise ValueError("no frame")
+    planes = []
+    for blocks, _, _, tall_n, broad_n, q in parts.values():
+        if q not in quantisers:
+            raise ValueError("no quantiser")
+        square = np.zeros(blocks.shape, float)
+        square[..., ZIGZAG] = blocks * quantisers[q]
+        pixels = np.einsum("ux,abuv,vy->axby", BASIS, square.reshape(*blocks.shape[:2], 8, 8), BASIS, optimize=True)
+        planes.append(np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8).reshape(blocks.shape[0] * 8, -1)[:tall_n, :broad_n])
+    return planes
+
+
+def decode_frame(image: bytes) -> np.ndarray:
+    """Grey levels of a frame's 8x8 blocks, in raster order; of frames that others wrote the rounded mean luminances.
+
+    Blocks at the right and lower edge may be smaller. Raises ValueError where decode_image() does.
+    """
+    own = decode_own(image)
+    if own is not None:
+        return own
+    plane = decode_image(image)[0].astype(np.int64)
+    rows, columns = np.arange(0, plane.shape[0], 8), np.arange(0, plane.shape[1], 8)
+    total = np.add.reduceat(np.add.reduceat(plane, rows, axis=0), columns, axis=1)
+    cells = np.outer(np.minimum(8, plane.shape[0] - rows), np.minimum(8, plane.shape[1] - columns))
+    return np.rint(total / cells).astype(np.uint8).ravel()
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -132,6 +286,18 @@ def chunks(data: bytes, at: int, end: int):
         at += 8 + size + size % 2
 
 
+#: Ends of the names of chunks that hold a frame.
+VIDEO = (b"dc", b"db")
+
+
+def _frames(media: bytes, at: int, end: int):
+    for name, a, size in chunks(media, at, end):
+        if name == b"LIST" and media[a : a + 4] == b"rec ":
+            yield from _frames(media, a + 4, a + size)
+        elif name[2:] in VIDEO and size:
+            yield a, size
+
+
 def parse_avi(media: bytes) -> tuple[list[tuple[int, int]], float, int | None]:
     """Places of the frames as the index (else the movi list) has them, frames a second, and the payload's length."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
@@ -152,12 +318,14 @@ def parse_avi(media: bytes) -> tuple[list[tuple[int, int]], float, int | None]:
                             length = struct.unpack_from("<Q", media, b)[0]
         elif name == b"LIST" and kind == b"movi":
             movi = at
-            listed = [(a, s) for n, a, s in chunks(media, at + 4, at + size) if n[2:] == b"dc"]
+            listed = list(_frames(media, at + 4, at + size))
         elif name == b"idx1":
             for a in range(at, at + size - 15, 16):
                 n, _, offset, s = struct.unpack_from("<4sIII", media, a)
-                if n[2:] == b"dc" and media[movi + offset : movi + offset + 4] == n:
-                    frames.append((movi + offset + 8, s))
+                # offsets count from the list's type or from the start of the file
+                start = next((o for o in (movi + offset, offset) if media[o : o + 4] == n), None)
+                if n[2:] in VIDEO and start is not None:
+                    frames.append((start + 8, s))
     return frames or listed, fps, length
 
 
@@ -181,11 +349,11 @@ def shots(samples: np.ndarray, *, reach: int = 8, k: float = 3.0, floor: float =
 
 
 def read_avi(media: bytes) -> tuple[bytes, np.ndarray, float]:
-    """The payload, the frames' samples and frames a second."""
+    """The payload, the frames' samples and frames a second. The payload of a file that others wrote is all its samples."""
     places, fps, length = parse_avi(media)
     if not places:
         raise ValueError("no frames")
-    samples = np.stack([decode_frame(media[a : a + s]) for a, s in places])
+    samples = np.stack([decode_frame(media[a : a + s]) for a, s in places])  # frames of different sizes are an error
     payload = samples.tobytes()
     return payload if length is None else payload[:length], samples, fps
 
@@ -222,7 +390,7 @@ def clip_rows(samples: np.ndarray, fps: float) -> list[tuple]:
 def read_media(media: DataFrame) -> DataFrame:
     """Reads the files of to_media() back: digests of payload and file, a feature string and the clips.
 
-    A file that is null, cut, empty or of another make has null payload columns, the reason as feature ("error=...") and no clips; null
+    A file that is null, cut, empty, damaged or no AVI of baseline JPEG frames of one size has null payload columns, the reason as feature ("error=...") and no clips; null
     files have null media columns as well. Repeated rows give a row each; an empty table gives none; other columns are not read.
     """
 
