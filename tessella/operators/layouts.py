@@ -67,7 +67,7 @@ def qd(points: DataFrame, windows: DataFrame, block: int = BLOCK) -> Layout:
 def qd_greedy(points: DataFrame, windows: DataFrame, block: int = BLOCK) -> Layout:
     """Greedy cuts by the share of the workload that they let skip."""
     wins = trees.collected(windows)
-    return _planned(points, block, lambda xy, limit: trees.grow(xy, limit, trees.greedy_split(wins)))
+    return _planned(points, block, lambda xy, limit: trees.grow(xy, limit, trees.greedy_split(wins, limit)))
 
 
 def qd_loaded(points: DataFrame, nodes: DataFrame, block: int = BLOCK, seed: int = 0) -> Layout:

@@ -36,20 +36,40 @@ def recommend(model, scenarios: DataFrame) -> DataFrame:
 
 
 def usefulness_rules(useful: DataFrame, features: list[str] = FEATURES, least: int = 5, n: int = 3) -> DataFrame:
-    """model, rule, support, hits, precision, coverage: the best n conditions on one or two features for each model.
+    """model, rule, precision, coverage, support, mean_rank, mean_ratio (of the useful rows), useful_scenarios, total_scenarios: the best
+    n conditions on one or two features for each model, with a useful row each and a support of `least`, or for models of
+    fewer than 10 * least rows a tenth of these, 2 at least.
 
-    All conditions "value of a feature" and "values of two features" are counted at once by grouping sets, which replaces a
-    search by shallow trees with an exhaustive one.
+    All conditions "value of a feature" and "values of two features" are counted at once, which replaces a search by shallow
+    trees with an exhaustive one. A model whose rows are all useful, or none, or that has no such condition, gets one row that says so.
     """
+    measures = [F.count("*").alias("support"), F.count_if("useful").alias("hits"), F.avg(F.when(F.col("useful"), F.col("rank"))).alias("mean_rank"), F.avg(F.when(F.col("useful"), F.col("ratio"))).alias("mean_ratio")]
     sets = [(f,) for f in features] + list(combinations(features, 2))
-    parts = [useful.groupBy("model", *s).agg(F.count("*").alias("support"), F.count_if("useful").alias("hits")).select("model", F.concat_ws(" and ", *(F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in s)).alias("rule"), "support", "hits") for s in sets]
-    all_rules = parts[0]
+    parts = [useful.groupBy("model", *s).agg(*measures).select("model", F.concat_ws(" and ", *(F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in s)).alias("rule"), "support", "hits", "mean_rank", "mean_ratio") for s in sets]
+    every = parts[0]
     for p in parts[1:]:
-        all_rules = all_rules.unionByName(p)
-    total = useful.groupBy("model").agg(F.count_if("useful").alias("total"))
-    scored = all_rules.where(F.col("support") >= least).join(F.broadcast(total), "model").withColumn("precision", F.col("hits") / F.col("support")).withColumn("coverage", F.col("hits") / F.nullif("total", F.lit(0)).cast("double")).drop("total")
+        every = every.unionByName(p)
+    whole = useful.groupBy("model").agg(F.count("*").alias("total_scenarios"), F.count_if("useful").alias("useful_scenarios"), F.avg("rank").alias("all_rank"), F.avg("ratio").alias("all_ratio"))
+    mixed = whole.where((F.col("useful_scenarios") > 0) & (F.col("useful_scenarios") < F.col("total_scenarios")))
+    enough = F.least(F.lit(least), F.greatest(F.lit(2), F.floor(F.col("total_scenarios") / 10)))
+    scored = every.join(F.broadcast(mixed.select("model", "total_scenarios", "useful_scenarios")), "model").where((F.col("support") >= enough) & (F.col("hits") > 0))
+    scored = scored.select("model", "rule", (F.col("hits") / F.col("support")).alias("precision"), (F.col("hits") / F.col("useful_scenarios")).alias("coverage"), "support", "mean_rank", "mean_ratio")
     place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("precision"), F.desc("coverage"), F.desc("support"), "rule"))
-    return scored.withColumn("_p", place).where(F.col("_p") <= n).drop("_p")
+    best = scored.withColumn("_p", place).where(F.col("_p") <= n).drop("_p")
+    none, full = F.col("useful_scenarios") == 0, F.col("useful_scenarios") == F.col("total_scenarios")
+    share = F.when(full & ~none, 1.0).otherwise(0.0)
+    said = F.when(none, "No useful region found").when(full, "All measured scenarios").otherwise("No compact positive rule found")
+    return whole.join(best, "model", "left").select(
+        "model",
+        F.coalesce("rule", said).alias("rule"),
+        F.coalesce("precision", share).alias("precision"),
+        F.coalesce("coverage", share).alias("coverage"),
+        F.coalesce("support", F.when(full, F.col("total_scenarios")).otherwise(0)).alias("support"),
+        F.when(F.col("rule").isNull() & full & ~none, F.col("all_rank")).otherwise(F.col("mean_rank")).alias("mean_rank"),
+        F.when(F.col("rule").isNull() & full & ~none, F.col("all_ratio")).otherwise(F.col("mean_ratio")).alias("mean_ratio"),
+        "useful_scenarios",
+        "total_scenarios",
+    )
 
 
 def entropy_bounds(known: DataFrame) -> DataFrame:

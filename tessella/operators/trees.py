@@ -193,8 +193,9 @@ def search_random(xy: np.ndarray, windows: np.ndarray, limit: float, tries: int
     return found
 
 
-def greedy_split(windows: np.ndarray, cuts: int = 512):
-    """The cut with the most window-point pairs skipped, of `cuts` quantiles in each dimension."""
+def greedy_split(windows: np.ndarray, limit: float = 0.0, cuts: int = 512):
+    """The cut with the most window-point pairs skipped, of `cuts` quantiles in each dimension that leave more than half a block
+    (of `limit` points) on both sides. Where none does or none skips anything, the median."""
 
     def choose(part, box, depth):
         inside = windows[overlapping(windows, box)]
@@ -206,6 +207,10 @@ def greedy_split(windows: np.ndarray, cuts: int = 512):
                 continue
             order = np.sort(part[:, dim])
             below = np.searchsorted(order, values, "left")
+            filled = (below > limit / 2) & (len(part) - below > limit / 2)
+            values, below = values[filled], below[filled]
+            if not len(values):
+                continue
             misses_low = (inside[:, dim][None, :] >= values[:, None]).sum(axis=1)
             misses_high = (inside[:, dim + 2][None, :] <= values[:, None]).sum(axis=1)
             gain = misses_low * below + misses_high * (len(part) - below)

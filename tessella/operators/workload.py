@@ -52,13 +52,13 @@ def gaussian(spark: SparkSession, mean, cov, n: int, seed: int, first_id: int =
 
 
 def mixture(spark: SparkSession, n: int, clusters: int, scale: float, seed: int, noise: int = 10_000) -> DataFrame:
-    """A data set of n points: uniform noise and clusters of equal size, in order of hash."""
+    """A data set of n points: uniform noise and clusters of equal size with means in [0.05, 0.95]^2, in order of hash."""
     rng = np.random.default_rng(seed)
     each, parts = n // clusters + 1, [gaussian(spark, (0.5, 0.5), np.eye(2), min(noise, n), seed, 0, 1.0)]
     for k in range(clusters):
         cov = covariance(seed * 1000 + k)
         cov[np.diag_indices(2)] *= scale
-        parts.append(gaussian(spark, rng.uniform(0, 1, 2), cov, each, seed + 1 + k, noise + k * each))
+        parts.append(gaussian(spark, 0.9 * rng.random(2) + 0.05, cov, each, seed + 1 + k, noise + k * each))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -139,20 +139,24 @@ def count_windows(centers: DataFrame, prefix: np.ndarray, target: int, steps: in
     return centers.select("cid", "cx", "cy", "sd_x", "sd_y").mapInPandas(run, COUNT_WINDOWS)
 
 
-def world_box(seed: int, lat_side: float, lon_side: float) -> tuple[float, float, float, float]:
-    """A box with a centre uniform on the sphere, shifted to stay within 180 degrees of longitude."""
+#: Least and greatest side of a world box in degrees, of latitude and of longitude alike.
+SIDES = (5.0, 30.0)
+
+
+def world_box(seed: int, lat_sides: tuple[float, float] = SIDES, lon_sides: tuple[float, float] = SIDES) -> tuple[float, float, float, float]:
+    """Two latitudes, two longitudes: a box of drawn sides with a centre uniform on the sphere; cut off at the poles, shifted to stay
+    within 180 degrees of longitude."""
     rng = np.random.default_rng(seed)
-    lat = float(np.degrees(np.arcsin(rng.uniform(-1, 1))))
-    lon = float(rng.uniform(-180, 180))
-    lon = min(max(lon, -180 + lon_side / 2), 180 - lon_side / 2)
-    lat = min(max(lat, -90 + lat_side / 2), 90 - lat_side / 2)
-    return lat - lat_side / 2, lat + lat_side / 2, lon - lon_side / 2, lon + lon_side / 2
+    lat, lon = float(np.degrees(np.arcsin(rng.uniform(-1, 1)))), float(rng.uniform(-180, 180))
+    tall, wide = float(rng.uniform(*lat_sides)), min(360.0, float(rng.uniform(*lon_sides)))
+    west = min(max(lon - wide / 2, -180.0), 180.0 - wide)
+    return max(-90.0, lat - tall / 2), min(90.0, lat + tall / 2), west, west + wide
 
 
-def real_sample(places: DataFrame, grid: DataFrame, low: int, high: int, target: int, seed: int, tries: int = 100, side: tuple[float, float] = (20.0, 20.0)) -> DataFrame | None:
+def real_sample(places: DataFrame, grid: DataFrame, low: int, high: int, target: int, seed: int, tries: int = 100, sides: tuple[float, float] = SIDES) -> DataFrame | None:
     """pid, x, y of `target` places from the first box whose estimate is in range and that holds enough, normalised; None if no box does."""
     for k in range(tries):
-        box = world_box(seed * 1000 + k, *side)
+        box = world_box(seed * 1000 + k, sides, sides)
         if low <= box_estimate(grid, *box).first()[0] <= high:
             inside = box_filter(places, *box)
             if inside.count() >= target:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -549,6 +551,13 @@ def synthetic_points(spark, sf):
     return workload.mixture(spark, 2000, 5, 1.0, 1, 200)
 
 
+@query("select 2000 as points, 2000 as ids, 2000 as inside, true as noise_first")
+def synthetic_points_check(spark, sf):
+    """What holds of every mixture: the points asked for, an id each, inside the open unit square, the noise among them."""
+    inside = (F.col("x") > 0) & (F.col("x") < 1) & (F.col("y") > 0) & (F.col("y") < 1)
+    return synthetic_points(spark, sf).agg(F.count("*").alias("points"), F.countDistinct("pid").alias("ids"), F.count_if(inside).alias("inside"), F.bool_or(F.col("pid") < 200).alias("noise_first"))
+
+
 @query()
 def synthetic_centers(spark, sf):
     return workload.centers_synthetic(fx.pts_orders(spark, sf), 50, 5, 0.5, 3)
@@ -893,9 +902,23 @@ def dt_recommend(spark, sf):
     return recommend.recommend(model, rows.select(*metrics.SCENARIO).distinct())
 
 
-@query()
+def _rules_sql() -> str:
+    sets = [(f,) for f in recommend.FEATURES] + list(combinations(recommend.FEATURES, 2))
+    named = lambda s: " || ' and ' || ".join(f"'{f}=' || {f}" for f in s)
+    each = " union all ".join(f"select model, {named(s)} as rule, count(*) as support, count(*) filter (useful) as hits, avg(rank) filter (useful) as mean_rank, avg(ratio) filter (useful) as mean_ratio from u group by model, {', '.join(s)}" for s in sets)
+    return f"""with {RANKED}, u as (select *, query_latency / nullif(best, 0e0) as ratio, rank <= 3 or query_latency / nullif(best, 0e0) <= 1.5e0 as useful from r),
+    w as (select model, count(*) as n, count(*) filter (useful) as h, avg(rank) as all_rank, avg(ratio) as all_ratio from u group by model), c as ({each}),
+    k as (select c.*, row_number() over (partition by model order by hits / support desc, hits / h desc, support desc, rule) as p from c join w using (model) where h between 1 and n - 1 and hits > 0 and support >= least(5, greatest(2, n // 10)))
+    select model, coalesce(rule, case when h = 0 then 'No useful region found' when h = n then 'All measured scenarios' else 'No compact positive rule found' end) as rule,
+    round(case when rule is not null then hits / support when h > 0 and h = n then 1e0 else 0e0 end, 6) as "precision", round(case when rule is not null then hits / h when h > 0 and h = n then 1e0 else 0e0 end, 6) as coverage,
+    case when rule is not null then support when h = n then n else 0 end as support, round(case when rule is null and h > 0 and h = n then all_rank else mean_rank end, 6) as mean_rank,
+    round(case when rule is null and h > 0 and h = n then all_ratio else mean_ratio end, 6) as mean_ratio, h as useful_scenarios, n as total_scenarios
+    from w left join (select * from k where p <= 3) using (model)"""
+
+
+@query(_rules_sql())
 def usefulness_rules(spark, sf):
-    return recommend.usefulness_rules(metrics.usefulness(metrics.ranked(fx.metrics_v(spark, sf), "query_latency")))
+    return _rounded(recommend.usefulness_rules(metrics.usefulness(metrics.ranked(fx.metrics_v(spark, sf), "query_latency"))))
 
 
 __all__ = ["QUERIES", "SQL", "morton"]
