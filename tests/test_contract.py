@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessella.operators import recommend, trees, workload
+from tessella.operators import grids, recommend, trees, workload
 
 
 def test_world_boxes():
@@ -42,3 +42,14 @@ def test_usefulness_rules_of_models_without_a_choice(spark):
     best = max(got["some"], key=lambda r: (r.precision, r.coverage))
     assert (best.rule, best.precision, best.coverage, best.support) == ("dataset_entropy_id=1", 1.0, 1.0, 10) and all(r.precision > 0 for r in got["some"])
     assert recommend.usefulness_rules(df.where("false")).count() == 0
+
+
+def test_samples_of_real_places_fill_the_unit_square(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.uniform((-89, -179), (89, 179), (20_000, 2)))]
+    places = spark.createDataFrame(rows, "pid long, lat double, lon double")
+    grid = grids.world_grid(places).cache()
+    points = workload.real_sample(places, grid, 60, 10_000, 40, 1).collect()
+    assert len(points) == 40 and len({p.pid for p in points}) == 40
+    assert all(0 <= v <= 1 for p in points for v in (p.x, p.y)) and {min(p.x for p in points), max(p.x for p in points)} == {0.0, 1.0}
+    assert workload.real_sample(places, grid, 10**9, 10**10, 40, 1, tries=2) is None
