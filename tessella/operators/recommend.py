@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 FEATURES = ["dataset_entropy_id", "query_entropy_id", "sel_tag"]
 
 
-def training_rows(ranked: DataFrame, k: int = 3) -> DataFrame:
-    """The first k rows of each scenario, with weight (1 / ratio)^2 times the balance n / (classes * n of the class)."""
-    top = ranked.where(F.col("rank") <= k).withColumn("w", 1 / (F.col("ratio") * F.col("ratio")))
+def training_rows(ranked: DataFrame, k: int = 3, latency: str = "query_latency") -> DataFrame:
+    """The first k rows of each scenario, with weight (1 / ratio)^2 times the balance n / (classes * n of the class).
+
+    Where the best latency is 0 and so no ratio is known, rows as quick as the best weigh 1 and slower ones, infinitely far off, 0.
+    """
+    known = 1 / (F.col("ratio") * F.col("ratio"))
+    top = ranked.where(F.col("rank") <= k).withColumn("w", F.when(F.col("ratio").isNotNull(), known).otherwise((F.col(latency) <= F.col("best")).cast("double")))
     sizes = top.groupBy("model").agg(F.count("*").alias("n_class"))
     totals = sizes.agg(F.count("*").alias("classes"), F.sum("n_class").alias("n"))
     balanced = top.join(F.broadcast(sizes), "model").crossJoin(F.broadcast(totals))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessella.operators import grids, recommend, trees, workload
+from tessella.operators import grids, metrics, recommend, trees, workload
 
 
 def test_world_boxes():
@@ -53,3 +53,11 @@ def test_samples_of_real_places_fill_the_unit_square(spark):
     assert len(points) == 40 and len({p.pid for p in points}) == 40
     assert all(0 <= v <= 1 for p in points for v in (p.x, p.y)) and {min(p.x for p in points), max(p.x for p in points)} == {0.0, 1.0}
     assert workload.real_sample(places, grid, 10**9, 10**10, 40, 1, tries=2) is None
+
+
+def test_training_rows_where_the_best_latency_is_nothing(spark):
+    rows = [("a", 1, 0.0), ("b", 1, 0.0), ("c", 1, 3.0), ("a", 2, 1.0), ("b", 2, 2.0), ("c", 2, 4.0)]
+    df = spark.createDataFrame([(k, m, e, 1, 1, v) for k, (m, e, v) in enumerate(rows)], "event_id long, model string, dataset_entropy_id int, query_entropy_id int, sel_tag int, query_latency double")
+    training = recommend.training_rows(metrics.ranked(df, "query_latency"))
+    assert {r.event_id: round(r.weight, 6) for r in training.collect()} == {0: 1.0, 1: 1.0, 2: 0.0, 3: 1.0, 4: 0.25, 5: 0.0625}
+    assert recommend.recommend(recommend.fit_tree(training), df.select(*metrics.SCENARIO).distinct()).count() == 2
