@@ -1,5 +1,7 @@
 """Rules of the workload generator, the greedy tree and the usefulness rules that no query's rows show."""
 
+import weakref
+
 import numpy as np
 
 from tessella.operators import grids, metrics, recommend, trees, workload
@@ -61,3 +63,16 @@ def test_training_rows_where_the_best_latency_is_nothing(spark):
     training = recommend.training_rows(metrics.ranked(df, "query_latency"))
     assert {r.event_id: round(r.weight, 6) for r in training.collect()} == {0: 1.0, 1: 1.0, 2: 0.0, 3: 1.0, 4: 0.25, 5: 0.0625}
     assert recommend.recommend(recommend.fit_tree(training), df.select(*metrics.SCENARIO).distinct()).count() == 2
+
+
+def test_unbalanced_trees_of_any_depth_hold_the_points_once():
+    xy = np.stack([np.arange(3000.0), np.zeros(3000)], axis=1)
+    held = []
+
+    def sliver(part, box, depth):
+        held.append(weakref.ref(part))
+        assert sum(p() is not None for p in held) <= 2
+        return 0, part[1, 0]
+
+    tree = trees.grow(xy, 1, sliver)
+    assert tree.leaves == 3000 and (tree.route(xy[:, 0], xy[:, 1]) == np.arange(3000)).all()
