@@ -84,3 +84,24 @@ def test_boxes_of_all_sizes_meet_once(spark):
     touching = got.where("greatest(lx, x_lo) <= least(hx, x_hi) and greatest(ly, y_lo) <= least(hy, y_hi)")
     assert sorted((x.qid, x.block_id) for x in touching.collect()) == wanted
     assert range_join.box_pairs(w.limit(0), boxes).count() == 0 and range_join.box_pairs(w, boxes.limit(0)).count() == 0
+
+
+def test_slices_of_more_than_two_levels(spark):
+    r = random.Random(5)
+    points = [(i, round(r.random(), 2), round(r.random(), 3)) for i in range(3000)]
+
+    def plain(part, dim):
+        if len(part) <= 4:
+            return [part]
+        k = 16 if len(part) // 16 >= 4 else len(part) // 4 + 1
+        part, out, at = sorted(part, key=lambda p: (p[1 + dim], p[0])), [], 0
+        for j in range(k):
+            n = len(part) // k + (j < len(part) % k)
+            out += plain(part[at : at + n], 1 - dim)
+            at += n
+        return out
+
+    blocks = {}
+    for p in layouts.str_tree(spark.createDataFrame(points, "pid long, x double, y double"), 4).points.collect():
+        blocks.setdefault(p.block_id, []).append(p.pid)
+    assert sorted(map(sorted, blocks.values())) == sorted(sorted(p[0] for p in b) for b in plain(points, 0))
