@@ -6,6 +6,10 @@ beside the pieces, so that a round looks up two ranks only. The rank map is a li
 ids to the rank of their bytes together, which is the id of the merged piece. Decoding looks each id up in a literal
 array of pieces and concatenates them.
 
+Ranks as training gives them are ordered(): the merges of a word go up in rank, so pairs of one rank are the same two pieces. Then the
+fold's state is one array of numbers, each a neighbouring pair with its rank before it, and a turn finds the least and puts the two
+pairs beside it anew. Other ranks are folded with pieces and ranks in two arrays.
+
 Literals are flat bytes (one unsafe array each), so a task reads them in with one copy. Pieces are strings of code
 points below 256, one for each byte.
 
@@ -17,6 +21,7 @@ folded where they stand.
 from __future__ import annotations
 
 import base64
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +30,10 @@ from pyspark.sql import functions as F
 SLOTS = 1 << 18
 #: Rank of pairs that never merge.
 NONE = (1 << 31) - 1
+#: Bits of an id in a packed pair, and the id beside a word's ends; what is added to pairs that never merge.
+BITS, END, NEVER = 17, (1 << 17) - 1, 1 << 62
+#: A prime below SLOTS, which packed pairs are spread by.
+PRIME = 262_139
 #: Factors that join a pair of ids into a key and into an address.
 KEY, ADDRESS = 1 << 20, 7919
 #: Bounds of the frequent words and of the documents that they are counted in.
@@ -46,6 +55,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def ordered(ranks: dict[bytes, int]) -> bool:
+    """Whether each string is two pieces (or a byte) once the merges of lower rank are made.
+
+    If so, a merge never makes one of lower rank possible: those bytes would have been two pieces, and merged, before.
+    """
+    for text, rank in ranks.items():
+        parts = [text[k : k + 1] for k in range(len(text))]
+        while len(parts) > 2:
+            beside = [ranks.get(a + b, rank) for a, b in zip(parts, parts[1:])]
+            low = min(beside)
+            if low >= rank:
+                return False
+            at = beside.index(low)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
 def constant(row: DataFrame) -> Column:
     """The one value of a one-row frame as a literal of flat bytes, however often the plan names it; nothing passes through Python."""
     jvm = row.sparkSession.sparkContext._jvm
@@ -107,6 +133,33 @@ def folded(word: Column, bytes_: Column, ranks: Column) -> Column:
     return F.when(F.octet_length(word) > 1, F.aggregate(turns, start, step, lambda acc: acc["p"])).otherwise(pieces)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def folded_ordered(word: Column, bytes_: Column, pairs: Column) -> Column:
+    """The ids of a word (not empty) by ordered ranks: pairs has, of pairs of ids (a << BITS | b), the same with their rank before it."""
+    entry = lambda k: F.coalesce(F.element_at(F.get(pairs, (k % PRIME).cast("int")), k), k + NEVER)
+    end = F.array(F.lit(END).cast("bigint"))
+    pieces = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), lambda c: F.get(bytes_, F.ascii(c)).cast("bigint"))
+    start = bound(pieces, lambda p: F.transform(F.zip_with(joined(end, p), joined(p, end), lambda a, b: a * (1 << BITS) + b), entry))
+
+    def merged(p: Column, low: Column, at: Column) -> Column:
+        # the pair's rank is the new piece's id; a pair stands on either side, as the word's ends are paired too
+        new = F.shiftright(low, 2 * BITS)
+        before, behind = F.get(p, at - 2).bitwiseAND(END << BITS) + new, new * (1 << BITS) + F.get(p, at).bitwiseAND(END)
+        return joined(F.slice(p, F.lit(1), at - 2), F.transform(F.array(before, behind), entry), F.slice(p, at + 2, F.size(p)))
+
+    def step(p: Column, _: Column) -> Column:
+        merge = lambda low: bound(F.array_position(p, low).cast("int"), lambda at: merged(p, low, at))
+        return bound(F.array_min(p), lambda low: F.when(low >= NEVER, p).otherwise(merge(low)))
+
+    turns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(word) - 1))
+    left = bound(F.aggregate(turns, start, step), lambda p: F.slice(p, F.lit(2), F.size(p) - 1))
+    return F.transform(left, lambda x: F.shiftright(x, BITS).bitwiseAND(END).cast("int"))
+
+
 def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
@@ -122,11 +175,21 @@ class Tokenizer:
 
         self.bytes = F.lit([self.ranks[bytes([b])] for b in range(256)])
 
+    @cached_property
+    def ordered(self) -> bool:
+        return len(self.ranks) <= END and ordered(self.ranks)
+
+    def folded(self, word: Column, ranks: Column) -> Column:
+        return (folded_ordered if self.ordered else folded)(word, self.bytes, ranks)
+
     def rank_map(self) -> Column:
         ranks = self.ranks
         pairs = ((ranks.get(t[:k]), ranks.get(t[k:]), v) for t, v in ranks.items() for k in range(1, len(t)))
         rows = self.spark.createDataFrame([x for x in pairs if x[0] is not None and x[1] is not None], "a int, b int, value int", verifySchema=False)
         a, b = F.col("a"), F.col("b")
+        if self.ordered:
+            key = a.cast("bigint") * (1 << BITS) + b
+            return constant_map(rows.select((key % PRIME).cast("int").alias("slot"), key.alias("key"), (F.col("value").cast("bigint") * (1 << 2 * BITS) + key).alias("value")))
         return constant_map(rows.select(pair_slot(a, b).alias("slot"), pair_key(a, b).alias("key"), "value"))
 
     def pieces(self) -> Column:
@@ -145,12 +208,12 @@ class Tokenizer:
         own = self.vocabulary()
         counts = words.groupBy("key").count().join(own.select("key"), "key", "left_anti")
         top = counts.orderBy(F.desc("count"), "key").limit(WORDS).select("key").repartition(16)
-        rows = own.unionByName(top.select("key", folded(F.col("key"), self.bytes, ranks).alias("value")))
+        rows = own.unionByName(top.select("key", self.folded(F.col("key"), ranks).alias("value")))
         return constant_map(rows.select(word_slot(F.col("key")).alias("slot"), "key", "value"))
 
     def ids(self, text: Column, known: Column, ranks: Column) -> Column:
         """The ids of a text."""
-        one = lambda w: F.coalesce(F.element_at(F.get(known, word_slot(w)), w), folded(w, self.bytes, ranks))
+        one = lambda w: F.coalesce(F.element_at(F.get(known, word_slot(w)), w), self.folded(w, ranks))
         return F.flatten(F.transform(words_of(text, self.pattern), one))
 
     def decoded(self, ids: Column) -> Column:
