@@ -76,3 +76,25 @@ def test_unbalanced_trees_of_any_depth_hold_the_points_once():
 
     tree = trees.grow(xy, 1, sliver)
     assert tree.leaves == 3000 and (tree.route(xy[:, 0], xy[:, 1]) == np.arange(3000)).all()
+
+
+def test_perimeter_splits_are_even_enough_for_a_shallow_tree():
+    rng = np.random.default_rng(5)
+    spread = rng.random((6000, 2)) * (1, 0.4)
+    tied = np.stack([rng.integers(0, 3, 6000) * (rng.random(6000) < 0.3), np.where(rng.random(6000) < 0.7, 5.0, rng.random(6000))], axis=1)
+    wins = np.array([[0.1, 0.1, 0.3, 0.2], [0.6, 0.0, 0.9, 0.1]])
+    for windows in (None, wins):
+        for xy, shares in ((spread, 0.25), (tied, 0.0)):
+            xy, depths, choose = xy[np.lexsort((xy[:, 1], xy[:, 0]))], [], trees.perimeter_split(8, windows)
+
+            def split(part, box, depth):
+                depths.append(depth)  # noqa: B023
+                dim, value = choose(part, box, depth)  # noqa: B023
+                below = (part[:, dim] < value).mean()
+                assert shares <= below <= 1 - shares  # noqa: B023
+                return dim, value
+
+            tree = trees.grow(xy, 8, split)
+            sizes = np.unique(tree.route(xy[:, 0], xy[:, 1]), return_counts=True)[1]
+            assert sizes.sum() == 6000 and len(sizes) == tree.leaves
+            assert max(depths) < 32
